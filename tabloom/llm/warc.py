@@ -4,9 +4,8 @@ Writing. Every page gives a request, a metadata and a response record, the first
 response in WARC-Concurrent-To. Of captures with equal payloads of `REVISIT_BYTES` or more, the
 one with the largest page id is a response, the others become revisit records without payload
 that name it in WARC-Refers-To. Records are made by SQL functions and written by Spark's text
-writer, whose line separator is the two CRLF that end a record: gzip-compressed WARC files, as
-many as keep one at about `FILE_BYTES` of payload (a file holds whole records, so a larger one
-only where a single record is).
+writer, whose line separator is the two CRLF that end a record: gzip-compressed WARC files, each
+with as many captures as have `FILE_BYTES` of payload on average.
 
 Reading. Files are read by Spark and parsed by Content-Length, header by header, so payloads may
 hold anything, blank lines and WARC records too.
@@ -61,7 +60,7 @@ def _record(kind, record_id, headers: list, content_type, block) -> F.Column:
 
 def write_archives(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
     plan = plan_records(pages)
-    total = pages.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()[0]
+    rows, total = pages.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()
     # a target URI holds no control characters; they are percent-encoded
     url = F.regexp_replace("url", "[\\x00-\\x20]", "%20")
     uri = F.concat(F.lit("WARC-Target-URI: "), url)
@@ -77,10 +76,10 @@ def write_archives(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) ->
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("bytes").cast("string"), F.lit(CRLF + CRLF))
     block = F.concat(http, F.when(F.col("kind") == "response", F.col("payload").cast("string")).otherwise(F.lit("")))
     main = _record(F.col("kind"), own, [uri, refers, profile, digest], F.lit("application/http; msgtype=response"), block)
-    records = plan.select(F.concat_ws(CRLF + CRLF, request, metadata, main).alias("value"), "record_id")
-    files = max(1, -(-int(total) // file_bytes))
-    # dealt out by record, not by digest: a group of copies would fill one file
-    records.repartition(files, "record_id").select("value").write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
+    records = plan.select(F.concat_ws(CRLF + CRLF, request, metadata, main).alias("value"))
+    # captures stay where the search for copies has brought them; a task opens further files as needed
+    per_file = max(1, int(rows * file_bytes / max(1, total)))
+    records.select("value").write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 def parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:
