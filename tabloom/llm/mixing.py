@@ -31,7 +31,7 @@ from tabloom.llm._shared import WORD_PATTERN, prefix_within, read_table, stored,
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
-FILLS = 4
+FILLS = 3
 SEED = 4242
 MAX_SOURCES = 100_000
 
