@@ -29,6 +29,8 @@ from tabloom.llm._shared import read_table, stored
 
 TEMPLATE_SHARE = 0.3
 TEMPLATE_PAGES = 10
+#: Most subtree hashes of all hosts that are broadcast.
+BROADCAST_HASHES = 500_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noscript iframe noembed noframes".split())
@@ -227,9 +229,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     # pages of one host with the same text count once
     sizes = table.groupBy("host", "digest").count().groupBy("host").agg(F.count("*").alias("pages"))
     counts = of_page.groupBy("host", "h", "digest").count().groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    common = counts.join(sizes, "host").where(F.col("n") >= share * F.col("pages")).select("host", "h")
-    hits = of_page.join(common, ["host", "h"]).groupBy("page").agg(F.collect_set("h").alias("common"))  # at most a page's own subtrees
-    out = table.join(hits, "page", "left").withColumn("common", F.coalesce("common", F.array().cast("array<long>")))
+    common = counts.join(sizes, "host").where(F.col("n") >= share * F.col("pages"))
+    # each recurs on a share of the host's pages, so a host has 1 / share times a page's subtrees at most
+    of_host = stored(common.groupBy("host").agg(F.collect_list("h").alias("site")), "templates")
+    hashes = of_host.agg(F.coalesce(F.sum(F.size("site")), F.lit(0))).first()[0]
+    if hashes <= BROADCAST_HASHES:  # a checked size; beyond it a join, whose skew Spark splits
+        of_host = F.broadcast(of_host)
+    out = table.join(of_host, "host", "left")
+    own = F.array_distinct(F.flatten("chains"))
+    out = out.withColumn("common", F.coalesce(F.array_intersect(own, "site"), F.array().cast("array<long>")))
     both = F.arrays_zip("texts", "chains")
     kept = F.filter(both, lambda x: ~F.arrays_overlap(x["chains"], F.col("common")))
     size = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + F.length(x["texts"]))
