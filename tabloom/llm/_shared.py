@@ -44,7 +44,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     executors cost no more than the tasks they were running."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
