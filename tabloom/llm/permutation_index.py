@@ -1,12 +1,12 @@
 """Approximate nearest neighbours with a permutation index.
 
-`PIVOTS` vectors of the table, chosen by hash, serve as pivots (a bounded sample, a documented
-parameter). A vector is represented by the order of its `PREFIX` nearest pivots. The rows are cut
+`PIVOTS` vectors serve as pivots: unlike ones among `SAMPLED` times as many that are chosen by hash
+(a bounded sample, documented parameters). A vector is represented by the order of its `PREFIX` nearest pivots. The rows are cut
 into blocks of about `BLOCK` vectors; each block posts them in its own inverted files, one a pivot,
 with the pivot's place in the vector's order. A query walks the files of its own nearest pivots and
 adds up what its places agree with the posted ones: prefix length minus the difference of places,
 which ranks by Spearman's footrule with absent pivots at the prefix's end. The block's best
-`CANDIDATES` share is reranked by cosine on the original vectors, in double precision, and the
+`CANDIDATES` share, and whatever agrees almost as well as the best, is reranked by cosine on the original vectors, in double precision, and the
 best of all blocks are merged.
 
 Every query meets every block (the stated query set against all rows, in blocks); what leaves a
@@ -33,6 +33,10 @@ PIVOTS = 512
 PREFIX = 128
 BLOCK = 4096
 CANDIDATES = 0.05
+#: All vectors of at least this share of the best agreement are reranked too, however many.
+CROWD = 0.75
+#: Sampled vectors per pivot, and the cosine from which one is too like a pivot to be another.
+SAMPLED, APART = 4, 0.7
 LEAST_CANDIDATES = 256
 K = 5
 SEED = 31
@@ -58,6 +62,16 @@ def places(v: np.ndarray, pivots: np.ndarray, prefix: int) -> tuple[np.ndarray,
     return np.take_along_axis(top, order, axis=1), np.broadcast_to(np.arange(prefix), top.shape)
 
 
+def spread(sample: np.ndarray, n: int) -> np.ndarray:
+    """n of the sample, first those that are unlike the ones before: a crowd gives one pivot."""
+    taken: list[int] = []
+    for i in range(len(sample)):
+        if len(taken) < n and (not taken or (sample[taken] @ sample[i]).max() < APART):
+            taken.append(i)
+    rest = [i for i in range(len(sample)) if i not in set(taken)]
+    return sample[(taken + rest)[:n]]
+
+
 class Block:
     """Inverted files over the vectors of one block: by pivot, vector numbers and places."""
 
@@ -78,12 +92,11 @@ class Block:
             agree[self.members[a:b]] += self.prefix - np.abs(self.places[a:b] - place)
         agree[self.ids == query_id] = -1
         keep = min(n, max(least, int(share * n)))
-        if keep < n:
-            # the numbers follow the ids, so ties stay with smaller ids
-            near = np.argpartition(-(agree.astype(np.int64) * n + (n - 1 - np.arange(n))), keep - 1)[:keep]
-        else:
-            near = np.arange(n)
-        near = near[agree[near] >= 0]
+        # the numbers follow the ids, so ties stay with smaller ids
+        rank = agree.astype(np.int64) * n + (n - 1 - np.arange(n))
+        last = np.partition(rank, n - keep)[n - keep]
+        # places cannot tell a crowd of like vectors apart: all that agree almost as well are reranked
+        near = np.flatnonzero((agree >= 0) & ((rank >= last) | (agree >= CROWD * agree.max())))
         score = self.unit[near] @ query
         best = np.lexsort((self.ids[near], -score))[:k]
         return self.ids[near][best], score[best]
@@ -95,12 +108,12 @@ def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: s
     spark = df.sparkSession
     rows, asked = stored(usable(df, id_col, vec_col), "vectors"), usable(queries, id_col, vec_col)
     schema = "query_id long, rank int, vec_id long, score double"
-    chosen = rows.orderBy(F.xxhash64(F.lit(SEED), "vec_id"), "vec_id").limit(pivots).select("v").collect()
+    chosen = rows.orderBy(F.xxhash64(F.lit(SEED), "vec_id"), "vec_id").limit(pivots * SAMPLED).select("v").collect()
     if not chosen:
         return spark.createDataFrame([], schema)
     lengths = [len(r["v"]) for r in chosen]
     dim = max(set(lengths), key=lambda n: (lengths.count(n), -n))
-    points = unit(np.array([r["v"] for r in chosen if len(r["v"]) == dim]))
+    points = spread(unit(np.array([r["v"] for r in chosen if len(r["v"]) == dim])), pivots)
     shared, prefix = spark.sparkContext.broadcast(points), min(prefix, len(points))
     rows, asked = rows.where(F.size("v") == dim), asked.where(F.size("v") == dim).dropDuplicates(["vec_id"])
     n_blocks = max(1, -(-rows.count() // block))
