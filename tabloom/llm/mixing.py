@@ -8,7 +8,7 @@ from its id and the rank variable odds(u) / odds(p), p being its inclusion proba
 fraction, times its relative weight where a weight column is given), and the documents with the
 smallest rank variables are taken until the sample's words are reached: a Pareto order sample of
 fixed size. What the next document would exceed is filled, in the same order, from documents that
-fit, in `FILLS` passes.
+fit, in `FILLS` passes, and at last by the one document that brings the words nearest.
 
 No task orders a source: running totals come from bucket sums (prefix_within) over rows of a few
 numbers; texts are not moved.
@@ -86,20 +86,27 @@ def pareto_copies(rows: DataFrame, id_col: str, size_col: str, source_col: str,
         taken = done.where("_take").groupBy(F.col(source_col).alias("_name")).agg(F.sum(size_col).alias("_got"))
         left = F.col("target") - F.col("_whole") * F.col("source_size") - F.coalesce("_got", F.lit(0))
         base = done.join(F.broadcast(taken), F.col(source_col).eqNullSafe(F.col("_name")), "left").withColumn("_want", left).drop("_name", "_got")
+    # the open document that would leave the smallest gap, above or below, if smaller than now
+    open_ = base.where(~F.col("_take") & (F.col(size_col) > 0) & (F.col(size_col) < 2 * F.col("_want")))
+    gap = F.abs(F.col(size_col) - F.col("_want"))
+    best = open_.groupBy(F.col(source_col).alias("_name")).agg(F.min(F.struct(gap, F.col("_at"), F.col(size_col))).alias("_b"))
+    best = best.select("_name", F.col("_b._at").alias("_bat"), F.col(f"_b.{size_col}").alias("_bsize"))
+    base = base.join(F.broadcast(best), F.col(source_col).eqNullSafe(F.col("_name")), "left")
+    chosen = (F.col("_at") == F.col("_bat")) & (F.col(size_col) == F.col("_bsize"))
+    base = base.withColumn("_take", F.col("_take") | F.coalesce(chosen, F.lit(False))).drop("_name", "_bat", "_bsize")
     return base.withColumn("copies", F.col("_whole") + F.col("_take").cast("long")).drop("_whole", "_want", "_at", "_take")
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
+def mixed(docs: DataFrame, text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
     """docs with each row as often as the mixture takes it. Texts are shuffled once."""
-    key = F.xxhash64(*[F.col(c) for c in docs.columns])
-    rows = docs.withColumn("_key", key)
+    key = F.xxhash64(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("_key"))
     slim = docs.select(key.alias("_key"), F.col(source_col).cast("string").alias("_source"), n_words(text_col).alias("_size"))
     copies = pareto_copies(slim, "_key", "_size", "_source", seed=seed).where("copies > 0").select("_key", "copies")
-    by_key = W.partitionBy("_key").orderBy(F.desc("copies"))
-    copies = copies.withColumn("_row", F.row_number().over(by_key))
-    rows = rows.withColumn("_row", F.row_number().over(W.partitionBy("_key").orderBy(id_col)))
-    both = rows.join(copies, ["_key", "_row"])
-    return both.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    copies = copies.withColumn("_nth", F.row_number().over(W.partitionBy("_key").orderBy(F.desc("copies"))))
+    rows = rows.withColumn("_nth", F.row_number().over(W.partitionBy("_key").orderBy("_key")))
+    both = rows.join(copies, ["_key", "_nth"])
+    return both.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def op9_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
