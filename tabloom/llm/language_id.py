@@ -95,7 +95,7 @@ def identify(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "tex
     and rejected boolean."""
     spark = df.sparkSession
     model = spark.sparkContext.broadcast(dictionaries)
-    keep = df.drop("lang_pred", "score", "rejected")
+    rows = df.select(F.struct(*[c for c in df.columns if c not in ("lang_pred", "score", "rejected")]).alias("row"), F.col(text_col).cast("string").alias("text"))
 
     @F.pandas_udf("lang_pred string, margin double")
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -103,10 +103,10 @@ def identify(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "tex
         for texts in batches:
             yield pd.DataFrame([c.judge(t) for t in texts], columns=["lang_pred", "margin"])
 
-    out = keep.withColumn("_p", predicted(F.col(text_col)))
-    margin = F.least(F.greatest(F.col("_p.margin"), F.lit(0.0)), F.lit(1.0))
-    out = out.withColumn("lang_pred", F.col("_p.lang_pred")).withColumn("score", F.least(margin * 4, F.lit(1.0)))
-    return out.withColumn("rejected", (F.col("lang_pred") == "und") | (margin < min_margin)).drop("_p")
+    out = rows.select("row", predicted("text").alias("p"))
+    margin = F.least(F.greatest(F.col("p.margin"), F.lit(0.0)), F.lit(1.0))
+    rejected = (F.col("p.lang_pred") == "und") | (margin < min_margin)
+    return out.select("row.*", F.col("p.lang_pred").alias("lang_pred"), F.least(margin * 4, F.lit(1.0)).alias("score"), rejected.alias("rejected"))
 
 
 def held_out(id_col: str = "doc_id"):

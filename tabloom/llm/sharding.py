@@ -29,7 +29,7 @@ BUCKETS = 4096
 
 def interleave(df: DataFrame, keys: list[str], source_col: str = "source", shards: int = 8, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
     """df plus shard int and slot long. `keys`: columns that tell rows apart; rows equal in
-    them are interchangeable."""
+    them are interchangeable. Column names with a leading underscore are reserved here."""
     rows = df.drop("shard", "slot").withColumn("_src", F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")))
     rows = rows.withColumn("_u", unit_hash(*[F.col(k) for k in keys], F.col("_src"), seed=seed)).withColumn("_one", F.lit(1).cast("long"))
     ranked = prefix_within(rows, "_src", "_u", "_one", "_rank", "_n", buckets)
@@ -52,16 +52,17 @@ def interleave(df: DataFrame, keys: list[str], source_col: str = "source", shard
     return out.drop("_src", "_u", "_one", "_rank", "_n", "_at", "_cell", "_in", "_base", "_total", "_pos")
 
 
-def sharded(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", shards: int = 8, seed: int = SEED) -> DataFrame:
+def sharded(docs: DataFrame, source_col: str = "source", shards: int = 8, seed: int = SEED) -> DataFrame:
     """Whole documents with shard and slot. Slots are found on (key, source) alone; the texts
     are shuffled once, to their rows' slots. Rows equal in every column share them in any order."""
-    key = F.xxhash64(*[F.col(c) for c in docs.columns if c not in ("shard", "slot")])
-    rows = docs.drop("shard", "slot").withColumn("_key", key)
-    rows = rows.withColumn("_copy", F.row_number().over(W.partitionBy("_key").orderBy(id_col)))
+    columns = [c for c in docs.columns if c not in ("shard", "slot")]
+    key = F.xxhash64(*columns)
+    rows = docs.select(F.struct(*columns).alias("row"), key.alias("_key"))
+    rows = rows.withColumn("_copy", F.row_number().over(W.partitionBy("_key").orderBy("_key")))
     slim = docs.select(key.alias("_key"), F.col(source_col).alias("_source"))
     slots = interleave(slim, ["_key"], "_source", shards, seed)
     slots = slots.withColumn("_copy", F.row_number().over(W.partitionBy("_key").orderBy("shard", "slot"))).drop("_source")
-    return rows.join(slots, ["_key", "_copy"]).drop("_key", "_copy")
+    return rows.join(slots, ["_key", "_copy"]).select("row.*", "shard", "slot")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,13 +16,13 @@ would mean a square of comparisons; all fingerprints under such a key instead po
 within two bits of theirs (2081 each): two fingerprints are linked by a chain of common words
 exactly if they are by a chain of links, so hot groups cost a multiple of their size.
 
-`link_similar` is the form for a similarity of 0.8 of five-word shingles (about 10 of 64 bits,
+`similar_components` is the form for a similarity of 0.8 of five-word shingles (about 10 of 64 bits,
 beyond what four errors reach): segments come from a wide fingerprint of word pairs, which edits
 disturb less, and what meets is compared on 256 bits of the five-word fingerprint.
 
 Defined results: text null, empty or blank -> no words, fingerprint zero, linked like any other;
-doc_id null -> takes part, but never names a component (a component of null ids only has null);
-repeated rows -> one output row each; empty table -> empty result; extra columns are ignored by
+doc_id null -> takes part, but never names a component (one of null ids only has null; see
+`deduplicated` for its choice); repeated rows -> one output row each; empty table -> empty result; extra columns are ignored by
 the query and kept by `deduplicated`. Texts of any length are hashed whole, in blocks of shingles.
 """
 
@@ -392,7 +392,9 @@ def named(members: DataFrame, comp: DataFrame) -> DataFrame:
     least = tied.groupBy("root").agg(F.min("first").alias("least"))
     tied = tied.join(least, "root").select("node", "least")
     names = first.join(tied, "node", "left").select("node", F.coalesce("least", "first").alias("component_id"))
-    return members.join(names, "node")
+    # stored, so that both sides of the last join are shuffled for it alone and Spark may split
+    # the rows of a text that a large part of them shares
+    return members.join(stored(names, "names"), "node")
 
 
 def op6_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -444,10 +446,12 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id names their group, the smallest of each group; rows equal in id
-    and text count once. A group of null ids only stays whole, as nothing tells its rows apart."""
-    groups = similar_components(docs, id_col, text_col)
-    names = groups.where(F.col("id") == F.col("component_id")).select(F.col("id").alias(id_col)).distinct()
-    kept = docs.join(names, id_col, "left_semi").withColumn("_h", F.xxhash64(text_col)).dropDuplicates([id_col, "_h"]).drop("_h")
-    nameless = groups.where(F.col("component_id").isNull()).limit(1).count()
-    return kept.union(docs.where(F.col(id_col).isNull())) if nameless else kept
+    """One row of each group: that of the smallest id, rows without id after all others; rows equal
+    in id and text count once. Rows travel as one struct, so their columns' names clash with none."""
+    text = F.xxhash64(text_col)
+    # a row without id stands under a number from its text, beyond the range of ids
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(text, 3))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("id"), text.alias("h"), F.col(text_col).alias("text"))
+    groups = similar_components(rows, "id", "text")
+    names = groups.where(F.col("id") == F.col("component_id")).select("id").distinct()
+    return rows.drop("text").join(names, "id", "left_semi").dropDuplicates(["id", "h"]).select("row.*")
