@@ -121,3 +121,19 @@ def described(weights: dict) -> dict[str, int]:
     out = {"conv": weights["kernel"].size + weights["scale"].size + weights["shift"].size}
     out |= {f"layer{i}": w.size + b.size for i, (w, b) in enumerate(weights["layers"])}
     return out | {"total": sum(out.values())}
+
+
+def scored_separators(tables: DataFrame, keys: list[str], weights: dict) -> DataFrame:
+    """keys, start, end, p for every separator of tables(keys, features, spans(s, e, start, end)),
+    s and e being line numbers."""
+    shared = tables.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for row in b.itertuples(index=False):
+                at = np.array([(max(0, x["s"]), x["e"]) for x in row.spans])
+                p = separator_scores(np.stack(row.features), at, shared.value)
+                yield pd.DataFrame({**{k: [getattr(row, k)] * len(p) for k in keys}, "start": [x["start"] for x in row.spans], "end": [x["end"] for x in row.spans], "p": p})
+
+    kinds = ", ".join(f"{k} {tables.schema[k].dataType.simpleString()}" for k in keys)
+    return tables.select(*keys, "features", "spans").mapInPandas(run, f"{kinds}, start long, end long, p double")

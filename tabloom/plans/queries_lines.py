@@ -250,3 +250,36 @@ def a_groups_as_lists(spark, sf):
     """Groups as lists, numbered in order without a window over all of them."""
     g = D.scores(spark, sf).groupBy("k").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("target")).alias("ids"))
     return N.numbered(g, ["k"], "group_no")
+
+
+@query(oracle(f"""{LINES}, ends AS (SELECT img, max(seq) AS last, max(bottom) AS e FROM lines GROUP BY img), axis AS (SELECT DISTINCT img, unnest(range(50)) AS y FROM boxes),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY img, top ORDER BY seq DESC) AS k FROM lines) WHERE k = 1),
+    j AS (SELECT a.img, a.y, CASE WHEN a.y > e THEN last + 1 ELSE coalesce(l.seq, 0) END AS tl, CAST(coalesce(a.y > l.bottom, false) AND NOT a.y > e AS BIGINT) AS bt FROM axis a ASOF LEFT JOIN best l ON a.img = l.img AND a.y >= l.top JOIN ends ON a.img = ends.img),
+    k AS (SELECT j.*, max(tl) OVER (PARTITION BY img) AS m, EXISTS (SELECT 1 FROM boxes b WHERE b.img = j.img AND b.word % 5 = 0 AND b.t = j.y) AS ink FROM j),
+    z AS (SELECT *, max(CASE WHEN tl = 0 THEN y END) OVER w AS h1, min(CASE WHEN tl = 0 AND ink THEN y END) OVER w AS hi, min(CASE WHEN tl = m AND tl > 0 THEN y END) OVER w AS t0, max(CASE WHEN tl = m AND tl > 0 THEN y END) OVER w AS t1, max(CASE WHEN tl = m AND tl > 0 AND ink THEN y END) OVER w AS ti FROM k WINDOW w AS (PARTITION BY img)),
+    q AS (SELECT *, CASE WHEN hi < h1 THEN hi ELSE h1 // 5 * 4 END AS s, coalesce(ti, t0 + (t1 - t0 + 1) // 5) AS e FROM z)
+    SELECT img, y, CAST(CASE WHEN tl = 0 AND y >= s + (h1 - s) // 2 THEN 1 WHEN tl = m AND tl > 0 AND y <= t0 + (e - t0 + 1) // 2 THEN m - 1 ELSE tl END AS BIGINT) AS text_line,
+    CAST(CASE WHEN tl = 0 AND y >= s THEN 1 WHEN tl = m AND tl > 0 AND y <= e THEN 1 WHEN tl = 0 OR tl = m THEN 0 ELSE bt END AS BIGINT) AS "between" FROM q""", "boxes"))
+def f_table_ends(spark, sf):
+    b = D.boxes(spark, sf)
+    lines = b.where("word % 7 = 0").selectExpr("img", "word AS seq", "t AS top", "b AS bottom", "start_like AS next_start_like", "word % 4 AS caps", "word % 3 AS next_caps")
+    axis = b.select("img").distinct().select("img", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(49).cast("long"))).alias("y"))
+    ink = b.where("word % 5 = 0").selectExpr("img", "t AS y")
+    return L.with_table_ends(L.between_lines(axis, lines, ["img"]), ink, ["img"])
+
+
+@query(oracle("h AS (SELECT k, i, target = 1 AS hit FROM scores), " + ISLANDS + " SELECT k, min(i) AS start, max(i) AS \"end\", count(*) AS length FROM r WHERE hit GROUP BY k, run", "scores"))
+def t_text_boundaries(spark, sf):
+    """Runs of ones in a 0/1 vector."""
+    return S.runs(D.scores(spark, sf), ["k"], "i", "target").where("target = 1").select("k", "start", "end", "length")
+
+
+@query("SELECT source, count(*) AS n, count(*) FILTER (lang <> 'en') AS n_other, round(100 * avg(CASE WHEN lang <> 'en' THEN 1.0 ELSE 0.0 END), 6) AS percent, min(n_chars) AS least, max(n_chars) AS most FROM documents GROUP BY source")
+def a_counts_and_rates(spark, sf):
+    other = F.col("lang") != "en"
+    return D.table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_if(other).alias("n_other"), F.round(100 * F.avg(F.when(other, 1.0).otherwise(0.0)), 6).alias("percent"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
+
+
+@query(oracle("SELECT img, word % 5 AS bucket, min(l) AS x0, min(t) AS y0, max(r) AS x1, max(b) AS y1, count(DISTINCT (l, t)) AS places FROM boxes GROUP BY ALL", "boxes"))
+def a_bucket_rectangles(spark, sf):
+    return D.boxes(spark, sf).groupBy("img", (F.col("word") % 5).alias("bucket")).agg(F.min("l").alias("x0"), F.min("t").alias("y0"), F.max("r").alias("x1"), F.max("b").alias("y1"), F.count_distinct("l", "t").alias("places"))

@@ -235,3 +235,33 @@ def m_line_scores(spark, sf):
     lines = D.axis_scores(spark, sf).withColumn("on", F.col("target").cast("double"))
     globals_ = lines.groupBy(*AXIS).agg(F.avg("p").alias("g"))
     return G.scored(G.assembled(lines, globals_, AXIS, ["p", "on"], ["g"]), AXIS, G.made_up_weights(4))
+
+
+@query(oracle(f"{CLEAN} SELECT img, \"row\", col, text FROM merged", "axis_scores", "table_words"))
+def c_parentheses_merged(spark, sf):
+    packed = C.without_empty(grid(spark, sf).select("img", "row", "col", "text"), ["img"])
+    return C.parentheses_merged(packed, ["img"]).select("img", "row", "col", "text")
+
+
+@query(oracle(f"{CLEAN} SELECT img, col, header FROM heads", "axis_scores", "table_words"))
+def c_headers(spark, sf):
+    packed = C.without_empty(grid(spark, sf).select("img", "row", "col", "text"), ["img"])
+    kept = C.without_ruled_last(C.parentheses_merged(packed, ["img"]), ["img"])
+    return C.headers(C.labelled(kept, ["img"]), ["img"]).select("img", "col", "header")
+
+
+@query(oracle("SELECT img, word, CAST(round_even(l * CAST(2.5 AS DOUBLE), 0) AS BIGINT) AS x0, CAST(round_even(r * CAST(2.5 AS DOUBLE), 0) AS BIGINT) AS x1 FROM boxes", "boxes"))
+def p_cell_scaling(spark, sf):
+    b = D.boxes(spark, sf)
+    return b.select("img", "word", X.half_even(F.col("l"), 2.5).alias("x0"), X.half_even(F.col("r"), 2.5).alias("x1"))
+
+
+@query()
+def m_separator_scores(spark, sf):
+    """Scores of all proposals under fixed made-up weights."""
+    lines = D.axis_scores(spark, sf).withColumn("on", F.col("target").cast("double"))
+    tables = G.assembled(lines, lines.groupBy(*AXIS).agg(F.avg("p").alias("g"), F.min("at").alias("low")), AXIS, ["p", "on"], ["g"])
+    low = lines.groupBy(*AXIS).agg(F.min("at").alias("low"))
+    spans = axis_separators(spark, sf).join(low, AXIS).withColumn("s", F.col("start") - F.col("low")).withColumn("e", F.col("end") - F.col("low"))
+    spans = spans.groupBy(*AXIS).agg(F.array_sort(F.collect_list(F.struct("s", "e", "start", "end"))).alias("spans"))
+    return G.scored_separators(tables.join(spans, AXIS), AXIS, G.made_up_weights(4, separators=True))
