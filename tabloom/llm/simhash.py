@@ -18,7 +18,10 @@ exactly if they are by a chain of links, so hot groups cost a multiple of their
 
 `similar_components` is the form for a similarity of 0.8 of five-word shingles (about 10 of 64 bits,
 beyond what four errors reach): segments come from a wide fingerprint of word pairs, which edits
-disturb less, and what meets is compared on 256 bits of the five-word fingerprint.
+disturb less, and what meets is compared on 256 bits of the five-word fingerprint. At `SURE_BITS`
+or fewer two texts are linked; up to `WIDE_BITS` they are candidates, whose Jaccard similarity is
+computed from their whole sets of shingles. Of a key's candidates `FORESTS` edge-disjoint spanning
+forests, nearest first, are checked, so that a group costs a multiple of its size and not its square.
 
 Defined results: text null, empty or blank -> no words, fingerprint zero, linked like any other;
 doc_id null -> takes part, but never names a component (one of null ids only has null; see
@@ -49,9 +52,16 @@ RUN = 4096
 BLOCK = 1 << 16
 SEED = 42
 #: Wide form: segments of word-pair bits, equal bits beside an index, bits that may differ of 256.
-WIDE_SEGMENTS, WIDE_EQUAL, WIDE_BITS = 12, 10, 44
+WIDE_SEGMENTS, WIDE_EQUAL, WIDE_BITS = 12, 10, 54
+#: Wide form: bits of 256 that a pair of similarity below 0.8 almost never gets down to, and bits
+#: within which a leader stands for a text.
+SURE_BITS, LED_BITS = 26, 44
+#: Wide form: the similarity asked for, and how many forests of candidates are checked.
+SIMILARITY, FORESTS = 0.8, 3
 #: Wide form: most rows under one key that are all compared; beyond, each is held against leaders.
 WIDE_RUN = 512
+#: Most texts that are picked for checking by a broadcast of their keys.
+BROADCAST_TEXTS = 500_000
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -75,12 +85,10 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fingerprint_words(words: list[bytes], shingle: int, lanes: int = 1) -> list[int]:
-    """`lanes` 64-bit SimHash values; a bit is 1 if set in more than half of the shingles' hashes."""
-    if not words:
-        return [0] * lanes
-    counts, n = np.zeros((lanes, 64), np.int64), max(1, len(words) - shingle + 1)
-    for at in range(0, n, BLOCK):
+def shingle_hashes(words: list[bytes], shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles in order, a block at a time; fewer words are one shingle."""
+    n, digest = max(1, len(words) - shingle + 1), xxhash.xxh64_intdigest
+    for at in range(0, n if words else 0, BLOCK):
         part = words[at : at + BLOCK + shingle - 1]
         line = b" ".join(part)
         m, ends, starts, p = max(1, len(part) - shingle + 1), [], [], 0
@@ -89,8 +97,15 @@ def fingerprint_words(words: list[bytes], shingle: int, lanes: int = 1) -> list[
             p += len(w)
             ends.append(p)
             p += 1
-        digest = xxhash.xxh64_intdigest
-        h = np.fromiter([digest(line[a:b], SEED) for a, b in zip(starts[:m], ends[min(shingle, len(part)) - 1 :], strict=True)], np.uint64, m)
+        yield np.fromiter([digest(line[a:b], SEED) for a, b in zip(starts[:m], ends[min(shingle, len(part)) - 1 :], strict=True)], np.uint64, m)
+
+
+def fingerprint_words(words: list[bytes], shingle: int, lanes: int = 1) -> list[int]:
+    """`lanes` 64-bit SimHash values; a bit is 1 if set in more than half of the shingles' hashes."""
+    if not words:
+        return [0] * lanes
+    counts, n = np.zeros((lanes, 64), np.int64), max(1, len(words) - shingle + 1)
+    for h in shingle_hashes(words, shingle):
         for k in range(lanes):
             counts[k] += bit_counts(mixed(h, k))
     powers = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -244,38 +259,103 @@ def links_in_runs(key: np.ndarray, node: np.ndarray, words: np.ndarray, bits: in
     return ids[moved], ids[lab[moved]]
 
 
+def _near_pairs(key: np.ndarray, words: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys; positions of all pairs of equal key that differ in `bits` at most, and by how many."""
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[start, len(key)])
+    of = np.repeat(size, size)
+    some = np.flatnonzero((of > 1) & (of <= 64))
+    k, found = key[some], [(some[:0], some[:0], some[:0])]
+    for step in range(1, 64):
+        at = np.flatnonzero(k[:-step] == k[step:]) if len(k) > step else k[:0]
+        if not len(at):
+            break
+        x, y = some[at], some[at + step]
+        d = differing(words[x], words[y])
+        found.append((x[d <= bits], y[d <= bits], d[d <= bits]))
+    for s, n in zip(start[size > 64], size[size > 64], strict=True):
+        for at in range(0, n, 256):
+            d = differing(words[s + at : s + min(n, at + 256), None], words[None, s + at : s + n])
+            x, y = np.nonzero(d <= bits)
+            x, y, d = x[y > x], y[y > x], d[x, y][y > x]
+            found.append((s + at + x, s + at + y, d))
+    x, y, d = (np.concatenate(c) for c in zip(*found, strict=True))
+    return x, y, d
+
+
+def _forest(lab: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Boruvka's spanning forest over the components `lab` of edges a-b, the best first:
+    positions of its edges, and the components they leave."""
+    open_, taken = np.arange(len(a)), [np.zeros(0, np.int64)]
+    while True:
+        open_ = open_[lab[a[open_]] != lab[b[open_]]]
+        if not len(open_):
+            return np.concatenate(taken), lab
+        best = np.full(len(lab), len(a))
+        np.minimum.at(best, lab[a[open_]], open_)
+        np.minimum.at(best, lab[b[open_]], open_)
+        taken.append(np.unique(best[best < len(a)]))
+        lab = _rooted(len(lab), lab[a[taken[-1]]], lab[b[taken[-1]]])[lab]
+
+
+def candidates_in_runs(key: np.ndarray, node: np.ndarray, words: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys; (a, b, differing bits) of a spanning forest of sure links and of `FORESTS`
+    forests of candidates between what the sure ones join."""
+    x, y, d = _near_pairs(key, words, bits)
+    ids, back = np.unique(np.r_[node[x], node[y]], return_inverse=True)
+    a, b = np.minimum(back[: len(x)], back[len(x) :]), np.maximum(back[: len(x)], back[len(x) :])
+    _, once = np.unique(a * max(1, len(ids)) + b, return_index=True)
+    once = once[a[once] != b[once]]
+    once = once[np.lexsort((b[once], a[once], d[once]))]
+    a, b, d = a[once], b[once], d[once]
+    sure = int(np.searchsorted(d, SURE_BITS, side="right"))
+    kept, lab = _forest(np.arange(len(ids)), a[:sure], b[:sure])
+    chosen, rest = [kept], np.arange(sure, len(a))
+    for _ in range(FORESTS):
+        more = rest[_forest(lab, a[rest], b[rest])[0]]
+        chosen.append(more)
+        rest = np.setdiff1d(rest, more, assume_unique=True)
+    at = np.concatenate(chosen)
+    return ids[a[at]], ids[b[at]], d[at]
+
+
 class _Leaders:
-    """Members of one key, met in blocks: each is linked to a leader alike to it or leads itself."""
+    """Members of one key, met in blocks: each is tied to the leaders nearest to it or leads itself."""
 
     def __init__(self, bits: int) -> None:
         self.bits, self.node, self.words = bits, None, None
 
-    def meet(self, node: np.ndarray, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def meet(self, node: np.ndarray, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for at in range(0, len(node), 256):
             n, w = node[at : at + 256], words[at : at + 256]
             if self.node is not None:
-                close = differing(w[:, None], self.words[None]) <= self.bits
-                led = close.any(axis=1)
-                yield n[led], self.node[close.argmax(axis=1)[led]]
+                apart = differing(w[:, None], self.words[None])
+                k = min(FORESTS, apart.shape[1])
+                near = np.argpartition(apart, k - 1, axis=1)[:, :k]
+                d = np.take_along_axis(apart, near, axis=1)
+                member, which = np.nonzero(d <= self.bits)
+                yield n[member], self.node[near[member, which]], d[member, which]
+                led = d.min(axis=1) <= LED_BITS
                 n, w = n[~led], w[~led]
             if len(n):
-                _, lab = _long_run(w, self.bits)
-                yield n, n[lab]
-                own = lab == np.arange(len(n))
+                yield candidates_in_runs(np.zeros(len(n), np.int64), n, w, self.bits)
+                own = _long_run(w, LED_BITS)[1] == np.arange(len(n))
                 self.node = n[own] if self.node is None else np.r_[self.node, n[own]]
                 self.words = w[own] if self.words is None else np.concatenate([self.words, w[own]])
 
 
 def _linker(lanes: int, bits: int, run: int, greedy: bool):
-    """For mapInArrow over rows (key, node, w0, w1, ...) sorted by key: links as rows (a, b).
+    """For mapInArrow over rows (key, node, w0, w1, ...) sorted by key: links as rows (a, b, d),
+    d being the bits that differ where greedy, else 0.
 
-    Of a key with more than `run` rows, greedy: links to leaders, else: rows (a, null), for a
+    Of a key with more than `run` rows, greedy: links to leaders, else: rows (a, null, 0), for a
     finer comparison. No more than about two blocks of rows are held, besides leaders.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("d", pa.int32())])
 
-    def out(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b, pa.int64())], schema=schema)
+    def out(a: np.ndarray, b: np.ndarray | None, d: np.ndarray | None = None) -> pa.RecordBatch:
+        d = np.zeros(len(a), np.int32) if d is None else d.astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b, pa.int64()), pa.array(d)], schema=schema)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -285,8 +365,8 @@ def _linker(lanes: int, bits: int, run: int, greedy: bool):
             if not greedy:
                 yield out(node, None)
             else:
-                for a, b in leaders.meet(node, words):
-                    yield out(a[a != b], b[a != b])
+                for a, b, d in leaders.meet(node, words):
+                    yield out(np.minimum(a, b)[a != b], np.maximum(a, b)[a != b], d[a != b])
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, rows, open_key, leaders
@@ -304,7 +384,7 @@ def _linker(lanes: int, bits: int, run: int, greedy: bool):
             cut = len(key) if last else int(start[-1])
             large = (size > run) & (start < cut)
             few = np.flatnonzero(~np.repeat(large, size)[:cut])
-            yield out(*links_in_runs(key[few], node[few], words[few], bits))
+            yield out(*(candidates_in_runs if greedy else links_in_runs)(key[few], node[few], words[few], bits))
             for s, n in zip(start[large], size[large], strict=True):
                 leaders = _Leaders(bits)
                 yield from many(node[s : s + n], words[s : s + n])
@@ -329,8 +409,9 @@ def _linker(lanes: int, bits: int, run: int, greedy: bool):
 
 
 def _meeting(keyed: DataFrame, lanes: int, bits: int, run: int, greedy: bool) -> DataFrame:
-    dealt = keyed.repartition("key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(_linker(lanes, bits, run, greedy), "a long, b long")
+    # the order within a key is another one for each key, so that other members lead
+    dealt = keyed.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "node"))
+    return dealt.mapInArrow(_linker(lanes, bits, run, greedy), "a long, b long, d int")
 
 
 def _ball(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,7 +437,7 @@ def link_exact(prints: DataFrame, run: int = RUN) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[owner])], names=["key", "node"])
 
     keyed = prints.select("fp").mapInArrow(post, "key long, node long").select("key", "node", F.col("node").alias("w0"))
-    found = stored(_meeting(keyed, 1, 4, run, False).distinct(), "links")
+    found = stored(_meeting(keyed, 1, 4, run, False).select("a", "b").distinct(), "links")
     hot = found.where("b is null").select("a").distinct()
     links = found.where("b is not null")
     if hot.isEmpty():
@@ -404,9 +485,32 @@ def op6_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def alike(texts: DataFrame, prints: DataFrame, pairs: DataFrame, shingle: int, least: float = SIMILARITY) -> DataFrame:
+    """Those pairs(a, b) of nodes whose shingles' Jaccard similarity is `least` or more. texts(id,
+    text, h) is read once more, for one text of each node(prints: id, h, node) that a pair names."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                of = [np.unique(np.concatenate([h & np.uint64(0xFFFFFFFF) for h in shingle_hashes(words_of(t.as_py()), shingle)] or [np.zeros(0, np.uint64)])).astype(np.uint32).view(np.int32) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(of, pa.list_(pa.int32()))], names=["node", "s"])
+
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    one = prints.join(asked, "node", "left_semi").groupBy("node").agg(F.min(F.struct("h", "id")).alias("r"))
+    one = stored(one.select("node", F.col("r.h").alias("rh"), F.col("r.id").alias("rid")), "asked")
+    if one.count() <= BROADCAST_TEXTS:  # a checked size; beyond it the join shuffles
+        one = F.broadcast(one)
+    picked = texts.join(one, (F.col("h") == F.col("rh")) & F.col("id").eqNullSafe(F.col("rid")))
+    of_node = stored(picked.select("node", "text").mapInArrow(sets, "node long, s array<int>").dropDuplicates(["node"]), "sets")
+    both = pairs.join(of_node.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(of_node.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common >= least * (F.size("x") + F.size("y") - common)).where(F.size("x") > 0).select("a", "b")
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bits: int = WIDE_BITS, run: int = WIDE_RUN) -> DataFrame:
-    """(id, component_id) for every row: components of texts whose five-word shingles are alike
-    (estimated Jaccard similarity of 0.8: 256-bit SimHash within `bits`) or equal."""
+    """(id, component_id) for every row: components of texts whose five-word shingles have a
+    Jaccard similarity of `SIMILARITY` or are equal."""
 
     def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -422,11 +526,12 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             lane = np.array(lanes, np.uint64).reshape(-1, 4).view(np.int64)
             flat = np.concatenate(segs) if segs else np.zeros(0, np.int32)
             seg_col = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, WIDE_SEGMENTS, dtype=np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(signed(node)), seg_col, *(pa.array(lane[:, i]) for i in range(4))], names=["id", "node", "seg", "w0", "w1", "w2", "w3"])
+            yield pa.RecordBatch.from_arrays([ids, b.column(2), pa.array(signed(node)), seg_col, *(pa.array(lane[:, i]) for i in range(4))], names=["id", "h", "node", "seg", "w0", "w1", "w2", "w3"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    prints = stored(slim.mapInArrow(wide, f"id {kind}, node long, seg array<int>, w0 long, w1 long, w2 long, w3 long"), "prints")
+    text = F.col(text_col).cast("string")
+    slim = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    prints = stored(slim.mapInArrow(wide, f"id {kind}, h long, node long, seg array<int>, w0 long, w1 long, w2 long, w3 long"), "prints")
     nodes = prints.groupBy("node").agg(*[F.min(c).alias(c) for c in ("seg", "w0", "w1", "w2", "w3")])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -440,8 +545,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([pa.array(key), *map(pa.array, cols)], names=["key", "node", "w0", "w1", "w2", "w3"])
 
     keyed = nodes.mapInArrow(post, "key long, node long, w0 long, w1 long, w2 long, w3 long")
-    links = _meeting(keyed, 4, bits, run, True).where("b is not null")
-    comp = components(links, "similar")
+    found = stored(_meeting(keyed, 4, bits, run, True).distinct(), "candidates")
+    checked = alike(slim, prints.select("id", "h", "node"), found.where(F.col("d") > SURE_BITS).select("a", "b"), shingle)
+    comp = components(found.where(F.col("d") <= SURE_BITS).select("a", "b").union(checked), "similar")
     return named(prints.select("id", "node"), comp).select("id", "component_id")
 
 

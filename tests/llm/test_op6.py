@@ -83,6 +83,33 @@ def test_near_duplicates_stage(spark):
     assert S.deduplicated(df.where(F.lit(False))).count() == 0
 
 
+def test_similar_groups_against_exact_similarity(spark):
+    """Copies on both sides of the threshold: groups are those of the exact Jaccard similarity."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(60):
+        base = [f"w{int(x)}" for x in rng.integers(0, 2000, int(rng.integers(40, 400)))]
+        rows.append(" ".join(base))
+        for changes in (1, 2, 3, 5, 8):
+            w = list(base)
+            for at in rng.integers(0, len(w), changes):
+                w[int(at)] = f"n{int(at)}"
+            rows.append(" ".join(w))
+    sets = []
+    for t in rows:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    lab = list(range(len(rows)))
+    for _ in rows:
+        new = [min(lab[j] for j in range(i // 6 * 6, i // 6 * 6 + 6) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) for i in range(len(rows))]
+        if new == lab:
+            break
+        lab = new
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["id"]: r["component_id"] for r in S.similar_components(df).collect()}
+    assert len(set(lab)) > 100 and sum(got[i] != lab[i] for i in range(len(rows))) <= 3
+
+
 def test_large_groups_are_linked_without_all_pairs(spark):
     rng = np.random.default_rng(2)
     base = [f"w{int(x)}" for x in rng.integers(0, 3000, 300)]
