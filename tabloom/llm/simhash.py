@@ -20,8 +20,10 @@ exactly if they are by a chain of links, so hot groups cost a multiple of their
 beyond what four errors reach): segments come from a wide fingerprint of word pairs, which edits
 disturb less, and what meets is compared on 256 bits of the five-word fingerprint. At `SURE_BITS`
 or fewer two texts are linked; up to `WIDE_BITS` they are candidates, whose Jaccard similarity is
-computed from their whole sets of shingles. Of a key's candidates `FORESTS` edge-disjoint spanning
-forests, nearest first, are checked, so that a group costs a multiple of its size and not its square.
+computed from their whole sets of shingles. Of a key's candidates a spanning forest, nearest first,
+is checked; then, between the groups that this has made, `FORESTS` edge-disjoint forests more, so that
+a group costs a multiple of its size and not its square. Keys are dealt without words at first, and
+only rows whose key another row shares go on.
 
 Defined results: text null, empty or blank -> no words, fingerprint zero, linked like any other;
 doc_id null -> takes part, but never names a component (one of null ids only has null; see
@@ -56,7 +58,7 @@ WIDE_SEGMENTS, WIDE_EQUAL, WIDE_BITS = 12, 10, 54
 #: Wide form: bits of 256 that a pair of similarity below 0.8 almost never gets down to, and bits
 #: within which a leader stands for a text.
 SURE_BITS, LED_BITS = 26, 44
-#: Wide form: the similarity asked for, and how many forests of candidates are checked.
+#: Wide form: the similarity asked for, and how many forests of candidates the second round checks.
 SIMILARITY, FORESTS = 0.8, 3
 #: Wide form: most rows under one key that are all compared; beyond, each is held against leaders.
 WIDE_RUN = 512
@@ -298,20 +300,20 @@ def _forest(lab: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
         lab = _rooted(len(lab), lab[a[taken[-1]]], lab[b[taken[-1]]])[lab]
 
 
-def candidates_in_runs(key: np.ndarray, node: np.ndarray, words: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted keys; (a, b, differing bits) of a spanning forest of sure links and of `FORESTS`
-    forests of candidates between what the sure ones join."""
-    x, y, d = _near_pairs(key, words, bits)
-    ids, back = np.unique(np.r_[node[x], node[y]], return_inverse=True)
-    a, b = np.minimum(back[: len(x)], back[len(x) :]), np.maximum(back[: len(x)], back[len(x) :])
+def _chosen(a: np.ndarray, b: np.ndarray, root_a: np.ndarray, root_b: np.ndarray, d: np.ndarray, forests: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs of nodes of unlike roots, that differ in d bits: (a, b, d) of a spanning forest of
+    the sure ones, and of `forests` forests of candidates between what the sure ones join."""
+    ids, first, back = np.unique(np.r_[a, b], return_index=True, return_inverse=True)
+    group = np.unique(np.r_[root_a, root_b][first], return_inverse=True)[1]
+    a, b = np.minimum(back[: len(a)], back[len(a) :]), np.maximum(back[: len(a)], back[len(a) :])
     _, once = np.unique(a * max(1, len(ids)) + b, return_index=True)
-    once = once[a[once] != b[once]]
+    once = once[group[a[once]] != group[b[once]]]
     once = once[np.lexsort((b[once], a[once], d[once]))]
     a, b, d = a[once], b[once], d[once]
     sure = int(np.searchsorted(d, SURE_BITS, side="right"))
-    kept, lab = _forest(np.arange(len(ids)), a[:sure], b[:sure])
+    kept, lab = _forest(group, a[:sure], b[:sure])
     chosen, rest = [kept], np.arange(sure, len(a))
-    for _ in range(FORESTS):
+    for _ in range(forests):
         more = rest[_forest(lab, a[rest], b[rest])[0]]
         chosen.append(more)
         rest = np.setdiff1d(rest, more, assume_unique=True)
@@ -319,38 +321,46 @@ def candidates_in_runs(key: np.ndarray, node: np.ndarray, words: np.ndarray, bit
     return ids[a[at]], ids[b[at]], d[at]
 
 
+def candidates_in_runs(key: np.ndarray, node: np.ndarray, root: np.ndarray, words: np.ndarray, bits: int, forests: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys: what `_chosen` takes of the pairs of equal key."""
+    x, y, d = _near_pairs(key, words, bits)
+    apart = root[x] != root[y]
+    x, y, d = x[apart], y[apart], d[apart]
+    return _chosen(node[x], node[y], root[x], root[y], d, forests)
+
+
 class _Leaders:
-    """Members of one key, met in blocks: each is tied to the leaders nearest to it or leads itself."""
+    """Members of one key, met in blocks: each is held against leaders, and leads itself where none
+    is like it. A block's pairs with leaders and with each other are chosen from together."""
 
-    def __init__(self, bits: int) -> None:
-        self.bits, self.node, self.words = bits, None, None
+    def __init__(self, bits: int, forests: int) -> None:
+        self.bits, self.forests, self.node, self.root, self.words = bits, forests, None, None, None
 
-    def meet(self, node: np.ndarray, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def meet(self, node: np.ndarray, root: np.ndarray, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for at in range(0, len(node), 256):
-            n, w = node[at : at + 256], words[at : at + 256]
-            if self.node is not None:
-                apart = differing(w[:, None], self.words[None])
-                k = min(FORESTS, apart.shape[1])
-                near = np.argpartition(apart, k - 1, axis=1)[:, :k]
-                d = np.take_along_axis(apart, near, axis=1)
-                member, which = np.nonzero(d <= self.bits)
-                yield n[member], self.node[near[member, which]], d[member, which]
-                led = d.min(axis=1) <= LED_BITS
-                n, w = n[~led], w[~led]
-            if len(n):
-                yield candidates_in_runs(np.zeros(len(n), np.int64), n, w, self.bits)
+            n, r, w = node[at : at + 256], root[at : at + 256], words[at : at + 256]
+            if self.node is None:
+                self.node, self.root, self.words = n[:0], r[:0], w[:0]
+            apart = differing(w[:, None], self.words[None])
+            member, leader = np.nonzero((apart <= self.bits) & (r[:, None] != self.root[None]))
+            new = ~(apart <= LED_BITS).any(axis=1)
+            x, y, d = _near_pairs(np.zeros(new.sum(), np.int64), w[new], self.bits)
+            x, y = np.flatnonzero(new)[x], np.flatnonzero(new)[y]
+            yield _chosen(np.r_[n[member], n[x]], np.r_[self.node[leader], n[y]], np.r_[r[member], r[x]], np.r_[self.root[leader], r[y]], np.r_[apart[member, leader], d], self.forests)
+            if new.any():
+                n, r, w = n[new], r[new], w[new]
                 own = _long_run(w, LED_BITS)[1] == np.arange(len(n))
-                self.node = n[own] if self.node is None else np.r_[self.node, n[own]]
-                self.words = w[own] if self.words is None else np.concatenate([self.words, w[own]])
+                self.node, self.root, self.words = np.r_[self.node, n[own]], np.r_[self.root, r[own]], np.concatenate([self.words, w[own]])
 
 
-def _linker(lanes: int, bits: int, run: int, greedy: bool):
-    """For mapInArrow over rows (key, node, w0, w1, ...) sorted by key: links as rows (a, b, d),
-    d being the bits that differ where greedy, else 0.
+def _linker(lanes: int, bits: int, run: int, forests: int):
+    """For mapInArrow over rows (key, node, root, w0, w1, ...) sorted by key: links as rows (a, b, d),
+    d being the bits that differ; greedy, if it is to choose forests of them. Else d is 0.
 
     Of a key with more than `run` rows, greedy: links to leaders, else: rows (a, null, 0), for a
     finer comparison. No more than about two blocks of rows are held, besides leaders.
     """
+    greedy = forests > 0
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("d", pa.int32())])
 
     def out(a: np.ndarray, b: np.ndarray | None, d: np.ndarray | None = None) -> pa.RecordBatch:
@@ -359,23 +369,23 @@ def _linker(lanes: int, bits: int, run: int, greedy: bool):
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-        rows, open_key, leaders = 0, None, _Leaders(bits)
+        rows, open_key, leaders = 0, None, _Leaders(bits, forests)
 
-        def many(node: np.ndarray, words: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def many(node: np.ndarray, root: np.ndarray, words: np.ndarray) -> Iterator[pa.RecordBatch]:
             if not greedy:
                 yield out(node, None)
             else:
-                for a, b, d in leaders.meet(node, words):
-                    yield out(np.minimum(a, b)[a != b], np.maximum(a, b)[a != b], d[a != b])
+                for a, b, d in leaders.meet(node, root, words):
+                    yield out(a, b, d)
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, rows, open_key, leaders
-            key, node, words = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, node, root, words = (np.concatenate(x) for x in zip(*held, strict=True))
             held, rows = [], 0
             if open_key is not None:  # rows that continue a key with many
                 n = int(np.searchsorted(key, open_key, side="right"))
-                yield from many(node[:n], words[:n])
-                key, node, words = key[n:], node[n:], words[n:]
+                yield from many(node[:n], root[:n], words[:n])
+                key, node, root, words = key[n:], node[n:], root[n:], words[n:]
                 if not len(key):
                     return
                 open_key = None
@@ -384,21 +394,21 @@ def _linker(lanes: int, bits: int, run: int, greedy: bool):
             cut = len(key) if last else int(start[-1])
             large = (size > run) & (start < cut)
             few = np.flatnonzero(~np.repeat(large, size)[:cut])
-            yield out(*(candidates_in_runs if greedy else links_in_runs)(key[few], node[few], words[few], bits))
+            yield out(*(candidates_in_runs(key[few], node[few], root[few], words[few], bits, forests) if greedy else links_in_runs(key[few], node[few], words[few], bits)))
             for s, n in zip(start[large], size[large], strict=True):
-                leaders = _Leaders(bits)
-                yield from many(node[s : s + n], words[s : s + n])
-            leaders = _Leaders(bits)
+                leaders = _Leaders(bits, forests)
+                yield from many(node[s : s + n], root[s : s + n], words[s : s + n])
+            leaders = _Leaders(bits, forests)
             if len(key) - cut > run:
                 open_key = key[-1]
-                yield from many(node[cut:], words[cut:])
+                yield from many(node[cut:], root[cut:], words[cut:])
             elif cut < len(key):
-                held, rows = [(key[cut:], node[cut:], words[cut:])], len(key) - cut
+                held, rows = [(key[cut:], node[cut:], root[cut:], words[cut:])], len(key) - cut
 
         for b in batches:
             if b.num_rows:
-                words = np.stack([b.column(2 + i).to_numpy() for i in range(lanes)], axis=1).view(np.uint64)
-                held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), words))
+                words = np.stack([b.column(3 + i).to_numpy() for i in range(lanes)], axis=1).view(np.uint64)
+                held.append((*(b.column(i).to_numpy() for i in range(3)), words))
                 rows += b.num_rows
                 if rows >= max(65536, 2 * run):
                     yield from flush(False)
@@ -408,10 +418,27 @@ def _linker(lanes: int, bits: int, run: int, greedy: bool):
     return link
 
 
-def _meeting(keyed: DataFrame, lanes: int, bits: int, run: int, greedy: bool) -> DataFrame:
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, node) sorted by key, those whose key another row has."""
+    key, node, before = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+
+    def out(kept: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key[: len(kept)][kept]), pa.array(node[: len(kept)][kept])], names=["key", "node"])
+
+    for b in batches:
+        if b.num_rows:  # the last row waits for its successor; `before`: the first has its predecessor's key
+            key, node = np.r_[key, b.column(0).to_numpy()], np.r_[node, b.column(1).to_numpy()]
+            same = np.r_[before, key[1:] == key[:-1]]
+            yield out(same[:-1] | same[1:])
+            key, node, before = key[-1:], node[-1:], bool(same[-1])
+    if before:
+        yield out(np.ones(1, bool))
+
+
+def _meeting(keyed: DataFrame, lanes: int, bits: int, run: int, forests: int = 0) -> DataFrame:
     # the order within a key is another one for each key, so that other members lead
     dealt = keyed.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "node"))
-    return dealt.mapInArrow(_linker(lanes, bits, run, greedy), "a long, b long, d int")
+    return dealt.mapInArrow(_linker(lanes, bits, run, forests), "a long, b long, d int")
 
 
 def _ball(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -436,8 +463,8 @@ def link_exact(prints: DataFrame, run: int = RUN) -> DataFrame:
                 key, owner = exact_keys(fp)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[owner])], names=["key", "node"])
 
-    keyed = prints.select("fp").mapInArrow(post, "key long, node long").select("key", "node", F.col("node").alias("w0"))
-    found = stored(_meeting(keyed, 1, 4, run, False).select("a", "b").distinct(), "links")
+    keyed = prints.select("fp").mapInArrow(post, "key long, node long").select("key", "node", F.lit(0).cast("long").alias("root"), F.col("node").alias("w0"))
+    found = stored(_meeting(keyed, 1, 4, run).select("a", "b").distinct(), "links")
     hot = found.where("b is null").select("a").distinct()
     links = found.where("b is not null")
     if hot.isEmpty():
@@ -532,7 +559,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     text = F.col(text_col).cast("string")
     slim = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
     prints = stored(slim.mapInArrow(wide, f"id {kind}, h long, node long, seg array<int>, w0 long, w1 long, w2 long, w3 long"), "prints")
-    nodes = prints.groupBy("node").agg(*[F.min(c).alias(c) for c in ("seg", "w0", "w1", "w2", "w3")])
+    words = [F.min(c).alias(c) for c in ("w0", "w1", "w2", "w3")]
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -541,13 +568,23 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             seg = b.column(1).flatten().to_numpy().reshape(-1, WIDE_SEGMENTS)
             for at in range(0, len(seg), 4096):
                 key, owner = wide_keys(seg[at : at + 4096])
-                cols = [b.column(i).to_numpy()[at : at + 4096][owner] for i in (0, 2, 3, 4, 5)]
-                yield pa.RecordBatch.from_arrays([pa.array(key), *map(pa.array, cols)], names=["key", "node", "w0", "w1", "w2", "w3"])
-
-    keyed = nodes.mapInArrow(post, "key long, node long, w0 long, w1 long, w2 long, w3 long")
-    found = stored(_meeting(keyed, 4, bits, run, True).distinct(), "candidates")
-    checked = alike(slim, prints.select("id", "h", "node"), found.where(F.col("d") > SURE_BITS).select("a", "b"), shingle)
-    comp = components(found.where(F.col("d") <= SURE_BITS).select("a", "b").union(checked), "similar")
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(b.column(0).to_numpy()[at : at + 4096][owner])], names=["key", "node"])
+
+    keyed = prints.groupBy("node").agg(F.min("seg").alias("seg")).mapInArrow(post, "key long, node long")
+    keyed = stored(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, node long"), "keyed")
+
+    def linked(root: DataFrame | None, forests: int) -> DataFrame:
+        """Links (a, b) between nodes that root(node, root) holds apart."""
+        of_node = prints.groupBy("node").agg(*words)
+        of_node = of_node.withColumn("root", F.col("node")) if root is None else of_node.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rows = keyed.join(of_node, "node").select("key", "node", "root", "w0", "w1", "w2", "w3")
+        found = stored(_meeting(rows, 4, bits, run, forests).distinct(), "candidates")
+        checked = alike(slim, prints.select("id", "h", "node"), found.where(F.col("d") > SURE_BITS).select("a", "b"), shingle)
+        return found.where(F.col("d") <= SURE_BITS).select("a", "b").union(checked)
+
+    comp = components(linked(None, 1), "similar")
+    more = linked(comp, FORESTS)
+    comp = components(comp.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "similar")
     return named(prints.select("id", "node"), comp).select("id", "component_id")
 
 
