@@ -20,10 +20,12 @@ exactly if they are by a chain of links, so hot groups cost a multiple of their
 beyond what four errors reach): segments come from a wide fingerprint of word pairs, which edits
 disturb less, and what meets is compared on 256 bits of the five-word fingerprint. At `SURE_BITS`
 or fewer two texts are linked; up to `WIDE_BITS` they are candidates, whose Jaccard similarity is
-computed from their whole sets of shingles. Of a key's candidates a spanning forest, nearest first,
-is checked; then, between the groups that this has made, `FORESTS` edge-disjoint forests more, so that
-a group costs a multiple of its size and not its square. Keys are dealt without words at first, and
-only rows whose key another row shares go on.
+computed from their whole sets of shingles. A first round checks a few
+candidates a row, which join most of what is alike: of small keys a spanning forest, nearest first, of
+large ones pairs with the rows nearest to their majority. The second round checks all candidates
+between the groups that this has made, so that a group costs a multiple of its size, and only what
+stays apart a square. Keys are dealt without words at first, and only rows whose key another row
+shares go on.
 
 Defined results: text null, empty or blank -> no words, fingerprint zero, linked like any other;
 doc_id null -> takes part, but never names a component (one of null ids only has null; see
@@ -55,13 +57,13 @@ BLOCK = 1 << 16
 SEED = 42
 #: Wide form: segments of word-pair bits, equal bits beside an index, bits that may differ of 256.
 WIDE_SEGMENTS, WIDE_EQUAL, WIDE_BITS = 12, 10, 54
-#: Wide form: bits of 256 that a pair of similarity below 0.8 almost never gets down to, and bits
-#: within which a leader stands for a text.
-SURE_BITS, LED_BITS = 26, 44
-#: Wide form: the similarity asked for, and how many forests of candidates the second round checks.
-SIMILARITY, FORESTS = 0.8, 3
-#: Wide form: most rows under one key that are all compared; beyond, each is held against leaders.
-WIDE_RUN = 512
+#: Wide form: bits of 256 that a pair of similarity below 0.8 almost never gets down to.
+SURE_BITS = 26
+#: Wide form: the similarity asked for.
+SIMILARITY = 0.8
+#: Wide form: most rows under one key that the first round compares with each other; beyond, it
+#: holds them against centres. The second round compares all that are still apart.
+WIDE_RUN = 64
 #: Most texts that are picked for checking by a broadcast of their keys.
 BROADCAST_TEXTS = 500_000
 
@@ -77,6 +79,11 @@ def bit_counts(h: np.ndarray) -> np.ndarray:
     return out
 
 
+def majority(h: np.ndarray) -> np.uint64:
+    """The value whose bits are those that more than half of the 64-bit values have."""
+    return (np.uint64(1) << np.arange(64, dtype=np.uint64))[bit_counts(h) * 2 > len(h)].sum(dtype=np.uint64)
+
+
 def mixed(h: np.ndarray, k: int) -> np.ndarray:
     """Another 64-bit hash for each k > 0."""
     if k == 0:
@@ -261,28 +268,53 @@ def links_in_runs(key: np.ndarray, node: np.ndarray, words: np.ndarray, bits: in
     return ids[moved], ids[lab[moved]]
 
 
-def _near_pairs(key: np.ndarray, words: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted keys; positions of all pairs of equal key that differ in `bits` at most, and by how many."""
+def _near_pairs(key: np.ndarray, root: np.ndarray, words: np.ndarray, bits: int, run: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sorted keys; positions of all pairs of equal key and unlike roots that differ in `bits` at
+    most, and by how many: first those of all keys with `run` rows at most, then block by block."""
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[start, len(key)])
     of = np.repeat(size, size)
-    some = np.flatnonzero((of > 1) & (of <= 64))
+    some = np.flatnonzero((of > 1) & (of <= run))
     k, found = key[some], [(some[:0], some[:0], some[:0])]
-    for step in range(1, 64):
+    for step in range(1, run):
         at = np.flatnonzero(k[:-step] == k[step:]) if len(k) > step else k[:0]
         if not len(at):
             break
         x, y = some[at], some[at + step]
+        apart = root[x] != root[y]
+        x, y = x[apart], y[apart]
         d = differing(words[x], words[y])
         found.append((x[d <= bits], y[d <= bits], d[d <= bits]))
-    for s, n in zip(start[size > 64], size[size > 64], strict=True):
-        for at in range(0, n, 256):
-            d = differing(words[s + at : s + min(n, at + 256), None], words[None, s + at : s + n])
-            x, y = np.nonzero(d <= bits)
-            x, y, d = x[y > x], y[y > x], d[x, y][y > x]
-            found.append((s + at + x, s + at + y, d))
-    x, y, d = (np.concatenate(c) for c in zip(*found, strict=True))
-    return x, y, d
+    yield tuple(np.concatenate(c) for c in zip(*found, strict=True))
+    for s, n in zip(start[size > run], size[size > run], strict=True):
+        _, back, count = np.unique(root[s : s + n], return_inverse=True, return_counts=True)
+        most = back == count.argmax()  # rows of the commonest root need no comparison among themselves
+        few, step = np.flatnonzero(~most), max(1, (1 << 18) // n)
+        for at in range(0, len(few), step):
+            i = few[at : at + step]
+            d = differing(words[s + i, None], words[None, s : s + n])
+            x, y = np.nonzero((d <= bits) & (back[i, None] != back) & (most | (np.arange(n) > i[:, None])))
+            yield s + i[x], s + y, d[x, y]
+
+
+def _near_centres(words: np.ndarray, bits: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of many rows under one key, pairs (x, y, d) that join most of what is alike, a few a row:
+    neighbours, and rows with the one nearest to the majority of their bits; what this one does
+    not reach has a centre of its own, while centres reach a sixteenth of it."""
+    x, left = np.arange(len(words) - 1), np.arange(len(words))
+    d = differing(words[x], words[x + 1])
+    found = [(x[d <= bits], x[d <= bits] + 1, d[d <= bits])]
+    while len(left) > run:
+        w = words[left]
+        centre = np.array([majority(w[:, i]) for i in range(w.shape[1])], np.uint64)
+        at = differing(w, centre).argmin()
+        d = differing(w, w[at])
+        near = d <= bits
+        found.append((np.full(near.sum(), left[at]), left[near], d[near]))
+        if near.sum() * 16 < len(left):
+            break
+        left = left[~near]
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 def _forest(lab: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -300,92 +332,87 @@ def _forest(lab: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
         lab = _rooted(len(lab), lab[a[taken[-1]]], lab[b[taken[-1]]])[lab]
 
 
-def _chosen(a: np.ndarray, b: np.ndarray, root_a: np.ndarray, root_b: np.ndarray, d: np.ndarray, forests: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of pairs of nodes of unlike roots, that differ in d bits: (a, b, d) of a spanning forest of
-    the sure ones, and of `forests` forests of candidates between what the sure ones join."""
-    ids, first, back = np.unique(np.r_[a, b], return_index=True, return_inverse=True)
-    group = np.unique(np.r_[root_a, root_b][first], return_inverse=True)[1]
+def _once(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pairs of unlike nodes, each once, the nearest first: (nodes, positions of a, b in them, d)."""
+    ids, back = np.unique(np.r_[a, b], return_inverse=True)
     a, b = np.minimum(back[: len(a)], back[len(a) :]), np.maximum(back[: len(a)], back[len(a) :])
     _, once = np.unique(a * max(1, len(ids)) + b, return_index=True)
-    once = once[group[a[once]] != group[b[once]]]
+    once = once[a[once] != b[once]]
     once = once[np.lexsort((b[once], a[once], d[once]))]
-    a, b, d = a[once], b[once], d[once]
-    sure = int(np.searchsorted(d, SURE_BITS, side="right"))
-    kept, lab = _forest(group, a[:sure], b[:sure])
-    chosen, rest = [kept], np.arange(sure, len(a))
-    for _ in range(forests):
-        more = rest[_forest(lab, a[rest], b[rest])[0]]
-        chosen.append(more)
-        rest = np.setdiff1d(rest, more, assume_unique=True)
-    at = np.concatenate(chosen)
-    return ids[a[at]], ids[b[at]], d[at]
-
-
-def candidates_in_runs(key: np.ndarray, node: np.ndarray, root: np.ndarray, words: np.ndarray, bits: int, forests: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted keys: what `_chosen` takes of the pairs of equal key."""
-    x, y, d = _near_pairs(key, words, bits)
-    apart = root[x] != root[y]
-    x, y, d = x[apart], y[apart], d[apart]
-    return _chosen(node[x], node[y], root[x], root[y], d, forests)
-
-
-class _Leaders:
-    """Members of one key, met in blocks: each is held against leaders, and leads itself where none
-    is like it. A block's pairs with leaders and with each other are chosen from together."""
-
-    def __init__(self, bits: int, forests: int) -> None:
-        self.bits, self.forests, self.node, self.root, self.words = bits, forests, None, None, None
-
-    def meet(self, node: np.ndarray, root: np.ndarray, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        for at in range(0, len(node), 256):
-            n, r, w = node[at : at + 256], root[at : at + 256], words[at : at + 256]
-            if self.node is None:
-                self.node, self.root, self.words = n[:0], r[:0], w[:0]
-            apart = differing(w[:, None], self.words[None])
-            member, leader = np.nonzero((apart <= self.bits) & (r[:, None] != self.root[None]))
-            new = ~(apart <= LED_BITS).any(axis=1)
-            x, y, d = _near_pairs(np.zeros(new.sum(), np.int64), w[new], self.bits)
-            x, y = np.flatnonzero(new)[x], np.flatnonzero(new)[y]
-            yield _chosen(np.r_[n[member], n[x]], np.r_[self.node[leader], n[y]], np.r_[r[member], r[x]], np.r_[self.root[leader], r[y]], np.r_[apart[member, leader], d], self.forests)
-            if new.any():
-                n, r, w = n[new], r[new], w[new]
-                own = _long_run(w, LED_BITS)[1] == np.arange(len(n))
-                self.node, self.root, self.words = np.r_[self.node, n[own]], np.r_[self.root, r[own]], np.concatenate([self.words, w[own]])
-
-
-def _linker(lanes: int, bits: int, run: int, forests: int):
-    """For mapInArrow over rows (key, node, root, w0, w1, ...) sorted by key: links as rows (a, b, d),
-    d being the bits that differ; greedy, if it is to choose forests of them. Else d is 0.
-
-    Of a key with more than `run` rows, greedy: links to leaders, else: rows (a, null, 0), for a
-    finer comparison. No more than about two blocks of rows are held, besides leaders.
+    return ids, a[once], b[once], d[once]
+
+
+def _candidates(every: bool, bits: int, run: int):
+    """For mapInArrow over rows (key, node, root, w0, w1, ...) sorted by key: candidates (a, b, d) of
+    equal key and unlike roots, d <= bits being the bits that differ: all of them, if `every`, else a
+    few a row that join most of what is alike. A key's rows are held together."""
+
+    def chosen(key: np.ndarray, node: np.ndarray, root: np.ndarray, words: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        if every:
+            for x, y, d in _near_pairs(key, root, words, bits, run):
+                yield _once(node[x], node[y], d)
+            return
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[start, len(key)])
+        few = np.flatnonzero(~np.repeat(size > run, size))
+        for x, y, d in _near_pairs(key[few], root[few], words[few], bits, run):
+            ids, a, b, d = _once(node[few[x]], node[few[y]], d)
+            kept = _forest(np.arange(len(ids)), a, b)[0]
+            yield ids, a[kept], b[kept], d[kept]
+        for s, n in zip(start[size > run], size[size > run], strict=True):
+            x, y, d = _near_centres(words[s : s + n], bits, run)
+            yield _once(node[s + x], node[s + y], d)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        rows, enough = 0, 65536
+
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, rows, enough
+            parts = [np.concatenate(x) for x in zip(*held, strict=True)]
+            cut = len(parts[0]) if last else int(np.searchsorted(parts[0], parts[0][-1]))
+            held, rows = [tuple(x[cut:] for x in parts)], len(parts[0]) - cut
+            enough = max(65536, 2 * rows)
+            if cut:
+                for ids, a, b, d in chosen(*(x[:cut] for x in parts)):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(d.astype(np.int32))], names=["a", "b", "d"])
+
+        for b in batches:
+            if b.num_rows:
+                words = np.stack([c.to_numpy() for c in b.columns[3:]], axis=1).view(np.uint64)
+                held.append((*(b.column(i).to_numpy() for i in range(3)), words))
+                rows += b.num_rows
+                if rows >= enough:
+                    yield from flush(False)
+        if held:
+            yield from flush(True)
+
+    return link
+
+
+def _linker(lanes: int, bits: int, run: int):
+    """For mapInArrow over rows (key, node, w0, w1, ...) sorted by key: links as rows (a, b).
+
+    Of a key with more than `run` rows: rows (a, null), for a finer comparison. No more than about
+    two blocks of rows are held.
     """
-    greedy = forests > 0
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("d", pa.int32())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def out(a: np.ndarray, b: np.ndarray | None, d: np.ndarray | None = None) -> pa.RecordBatch:
-        d = np.zeros(len(a), np.int32) if d is None else d.astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b, pa.int64()), pa.array(d)], schema=schema)
+    def out(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b, pa.int64())], schema=schema)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-        rows, open_key, leaders = 0, None, _Leaders(bits, forests)
-
-        def many(node: np.ndarray, root: np.ndarray, words: np.ndarray) -> Iterator[pa.RecordBatch]:
-            if not greedy:
-                yield out(node, None)
-            else:
-                for a, b, d in leaders.meet(node, root, words):
-                    yield out(a, b, d)
+        rows, open_key = 0, None
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, rows, open_key, leaders
-            key, node, root, words = (np.concatenate(x) for x in zip(*held, strict=True))
+            nonlocal held, rows, open_key
+            key, node, words = (np.concatenate(x) for x in zip(*held, strict=True))
             held, rows = [], 0
             if open_key is not None:  # rows that continue a key with many
                 n = int(np.searchsorted(key, open_key, side="right"))
-                yield from many(node[:n], root[:n], words[:n])
-                key, node, root, words = key[n:], node[n:], root[n:], words[n:]
+                yield out(node[:n], None)
+                key, node, words = key[n:], node[n:], words[n:]
                 if not len(key):
                     return
                 open_key = None
@@ -394,21 +421,19 @@ def _linker(lanes: int, bits: int, run: int, forests: int):
             cut = len(key) if last else int(start[-1])
             large = (size > run) & (start < cut)
             few = np.flatnonzero(~np.repeat(large, size)[:cut])
-            yield out(*(candidates_in_runs(key[few], node[few], root[few], words[few], bits, forests) if greedy else links_in_runs(key[few], node[few], words[few], bits)))
+            yield out(*links_in_runs(key[few], node[few], words[few], bits))
             for s, n in zip(start[large], size[large], strict=True):
-                leaders = _Leaders(bits, forests)
-                yield from many(node[s : s + n], root[s : s + n], words[s : s + n])
-            leaders = _Leaders(bits, forests)
+                yield out(node[s : s + n], None)
             if len(key) - cut > run:
                 open_key = key[-1]
-                yield from many(node[cut:], root[cut:], words[cut:])
+                yield out(node[cut:], None)
             elif cut < len(key):
-                held, rows = [(key[cut:], node[cut:], root[cut:], words[cut:])], len(key) - cut
+                held, rows = [(key[cut:], node[cut:], words[cut:])], len(key) - cut
 
         for b in batches:
             if b.num_rows:
-                words = np.stack([b.column(3 + i).to_numpy() for i in range(lanes)], axis=1).view(np.uint64)
-                held.append((*(b.column(i).to_numpy() for i in range(3)), words))
+                words = np.stack([b.column(2 + i).to_numpy() for i in range(lanes)], axis=1).view(np.uint64)
+                held.append((*(b.column(i).to_numpy() for i in range(2)), words))
                 rows += b.num_rows
                 if rows >= max(65536, 2 * run):
                     yield from flush(False)
@@ -435,12 +460,6 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(np.ones(1, bool))
 
 
-def _meeting(keyed: DataFrame, lanes: int, bits: int, run: int, forests: int = 0) -> DataFrame:
-    # the order within a key is another one for each key, so that other members lead
-    dealt = keyed.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "node"))
-    return dealt.mapInArrow(_linker(lanes, bits, run, forests), "a long, b long, d int")
-
-
 def _ball(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each fingerprint with all words within two bits of it."""
     one = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -463,8 +482,9 @@ def link_exact(prints: DataFrame, run: int = RUN) -> DataFrame:
                 key, owner = exact_keys(fp)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[owner])], names=["key", "node"])
 
-    keyed = prints.select("fp").mapInArrow(post, "key long, node long").select("key", "node", F.lit(0).cast("long").alias("root"), F.col("node").alias("w0"))
-    found = stored(_meeting(keyed, 1, 4, run).select("a", "b").distinct(), "links")
+    keyed = prints.select("fp").mapInArrow(post, "key long, node long").select("key", "node", F.col("node").alias("w0"))
+    dealt = keyed.repartition("key").sortWithinPartitions("key")
+    found = stored(dealt.mapInArrow(_linker(1, 4, run), "a long, b long").distinct(), "links")
     hot = found.where("b is null").select("a").distinct()
     links = found.where("b is not null")
     if hot.isEmpty():
@@ -573,17 +593,18 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keyed = prints.groupBy("node").agg(F.min("seg").alias("seg")).mapInArrow(post, "key long, node long")
     keyed = stored(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, node long"), "keyed")
 
-    def linked(root: DataFrame | None, forests: int) -> DataFrame:
+    def linked(root: DataFrame | None) -> DataFrame:
         """Links (a, b) between nodes that root(node, root) holds apart."""
         of_node = prints.groupBy("node").agg(*words)
         of_node = of_node.withColumn("root", F.col("node")) if root is None else of_node.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
         rows = keyed.join(of_node, "node").select("key", "node", "root", "w0", "w1", "w2", "w3")
-        found = stored(_meeting(rows, 4, bits, run, forests).distinct(), "candidates")
+        dealt = rows.repartition("key").sortWithinPartitions("key", "node")
+        found = stored(dealt.mapInArrow(_candidates(root is not None, bits, run), "a long, b long, d int").distinct(), "candidates")
         checked = alike(slim, prints.select("id", "h", "node"), found.where(F.col("d") > SURE_BITS).select("a", "b"), shingle)
         return found.where(F.col("d") <= SURE_BITS).select("a", "b").union(checked)
 
-    comp = components(linked(None, 1), "similar")
-    more = linked(comp, FORESTS)
+    comp = components(linked(None), "similar")
+    more = linked(comp)
     comp = components(comp.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "similar")
     return named(prints.select("id", "node"), comp).select("id", "component_id")
 

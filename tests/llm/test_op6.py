@@ -130,3 +130,23 @@ def test_components_of_chains_and_stars(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[int(names[i])] for i in range(201)} == {int(min(names[:201]))}
     assert {got[int(names[i])] for i in range(250, 380)} == {int(min(names[250:380]))}
+
+
+def left_groups(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r["component_id"] for r in S.similar_components(df).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def test_crowd_similar_to_one_base_only(spark):
+    """A star: every copy is at 0.8 or more to the base, most pairs of copies are not."""
+    rng = np.random.default_rng(31)
+    base = [f"w{int(x)}" for x in rng.integers(0, 100000, 200)]
+    rows = [" ".join(base)]
+    for i in range(2000):
+        w = list(base)
+        for j, at in enumerate(rng.choice(np.arange(5, 195, 6), 4, replace=False)):
+            w[int(at)] = f"new{i}x{j}"
+        rows.append(" ".join(w))
+    rng.shuffle(rows)
+    assert len(set(left_groups(spark, rows))) <= 5  # what shares no key is not met
