@@ -18,9 +18,9 @@ exactly if they are by a chain of links, so hot groups cost a multiple of their
 
 `similar_components` is the form for a similarity of 0.8 of five-word shingles (about 10 of 64 bits,
 beyond what four errors reach): segments come from a wide fingerprint of word pairs, which edits
-disturb less, and what meets is compared on 256 bits of the five-word fingerprint. At `SURE_BITS`
-or fewer two texts are linked; up to `WIDE_BITS` they are candidates, whose Jaccard similarity is
-computed from their whole sets of shingles. A first round checks a few
+disturb less, and what meets is compared on 256 bits of the five-word fingerprint,
+which is taken of the set of shingles. Up to `WIDE_BITS` two texts are candidates, whose Jaccard
+similarity is computed from their whole sets; texts of equal sets are one node. A first round checks a few
 candidates a row, which join most of what is alike: of small keys a spanning forest, nearest first, of
 large ones pairs with the rows nearest to their majority. The second round checks all candidates
 between the groups that this has made, so that a group costs a multiple of its size, and only what
@@ -57,8 +57,6 @@ BLOCK = 1 << 16
 SEED = 42
 #: Wide form: segments of word-pair bits, equal bits beside an index, bits that may differ of 256.
 WIDE_SEGMENTS, WIDE_EQUAL, WIDE_BITS = 12, 10, 54
-#: Wide form: bits of 256 that a pair of similarity below 0.8 almost never gets down to.
-SURE_BITS = 26
 #: Wide form: the similarity asked for.
 SIMILARITY = 0.8
 #: Wide form: most rows under one key that the first round compares with each other; beyond, it
@@ -121,6 +119,21 @@ def fingerprint_words(words: list[bytes], shingle: int, lanes: int = 1) -> list[
     return [int(powers[c * 2 > n].sum(dtype=np.uint64)) for c in counts]
 
 
+def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
+    """The distinct shingles' XXH64, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(words, shingle)]))
+
+
+def set_fingerprint(s: np.ndarray, lanes: int) -> list[int]:
+    """As `fingerprint_words`, of a set: how often a shingle occurs does not count, as in the similarity."""
+    counts = np.zeros((lanes, 64), np.int64)
+    for at in range(0, len(s), BLOCK):
+        for k in range(lanes):
+            counts[k] += bit_counts(mixed(s[at : at + BLOCK], k))
+    powers = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    return [int(powers[c * 2 > len(s)].sum(dtype=np.uint64)) for c in counts]
+
+
 def words_of(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "replace").lower().split()
 
@@ -333,35 +346,37 @@ def _forest(lab: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
 
 
 def _once(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Pairs of unlike nodes, each once, the nearest first: (nodes, positions of a, b in them, d)."""
+    """Pairs of unlike nodes, each once, the nearest first: (nodes, positions of a and b in them)."""
     ids, back = np.unique(np.r_[a, b], return_inverse=True)
     a, b = np.minimum(back[: len(a)], back[len(a) :]), np.maximum(back[: len(a)], back[len(a) :])
     _, once = np.unique(a * max(1, len(ids)) + b, return_index=True)
     once = once[a[once] != b[once]]
     once = once[np.lexsort((b[once], a[once], d[once]))]
-    return ids, a[once], b[once], d[once]
+    return ids, a[once], b[once]
 
 
 def _candidates(every: bool, bits: int, run: int):
-    """For mapInArrow over rows (key, node, root, w0, w1, ...) sorted by key: candidates (a, b, d) of
-    equal key and unlike roots, d <= bits being the bits that differ: all of them, if `every`, else a
-    few a row that join most of what is alike. A key's rows are held together."""
+    """For mapInArrow over rows (key, node, root, w0, w1, ...) sorted by key: candidates (a, b) of
+    equal key and unlike roots that differ in `bits` at most: all of them, if `every`, else a few a
+    row that join most of what is alike. A key's rows are held together."""
 
     def chosen(key: np.ndarray, node: np.ndarray, root: np.ndarray, words: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         if every:
             for x, y, d in _near_pairs(key, root, words, bits, run):
-                yield _once(node[x], node[y], d)
+                ids, a, b = _once(node[x], node[y], d)
+                yield ids[a], ids[b]
             return
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[start, len(key)])
         few = np.flatnonzero(~np.repeat(size > run, size))
         for x, y, d in _near_pairs(key[few], root[few], words[few], bits, run):
-            ids, a, b, d = _once(node[few[x]], node[few[y]], d)
+            ids, a, b = _once(node[few[x]], node[few[y]], d)
             kept = _forest(np.arange(len(ids)), a, b)[0]
-            yield ids, a[kept], b[kept], d[kept]
+            yield ids[a[kept]], ids[b[kept]]
         for s, n in zip(start[size > run], size[size > run], strict=True):
             x, y, d = _near_centres(words[s : s + n], bits, run)
-            yield _once(node[s + x], node[s + y], d)
+            ids, a, b = _once(node[s + x], node[s + y], d)
+            yield ids[a], ids[b]
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -374,8 +389,8 @@ def _candidates(every: bool, bits: int, run: int):
             held, rows = [tuple(x[cut:] for x in parts)], len(parts[0]) - cut
             enough = max(65536, 2 * rows)
             if cut:
-                for ids, a, b, d in chosen(*(x[:cut] for x in parts)):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(d.astype(np.int32))], names=["a", "b", "d"])
+                for a, b in chosen(*(x[:cut] for x in parts)):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for b in batches:
             if b.num_rows:
@@ -540,8 +555,8 @@ def alike(texts: DataFrame, prints: DataFrame, pairs: DataFrame, shingle: int, l
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                of = [np.unique(np.concatenate([h & np.uint64(0xFFFFFFFF) for h in shingle_hashes(words_of(t.as_py()), shingle)] or [np.zeros(0, np.uint64)])).astype(np.uint32).view(np.int32) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(of, pa.list_(pa.int32()))], names=["node", "s"])
+                of = [shingle_set(words_of(t.as_py()), shingle).view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(of, pa.list_(pa.int64()))], names=["node", "s"])
 
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     one = prints.join(asked, "node", "left_semi").groupBy("node").agg(F.min(F.struct("h", "id")).alias("r"))
@@ -549,7 +564,7 @@ def alike(texts: DataFrame, prints: DataFrame, pairs: DataFrame, shingle: int, l
     if one.count() <= BROADCAST_TEXTS:  # a checked size; beyond it the join shuffles
         one = F.broadcast(one)
     picked = texts.join(one, (F.col("h") == F.col("rh")) & F.col("id").eqNullSafe(F.col("rid")))
-    of_node = stored(picked.select("node", "text").mapInArrow(sets, "node long, s array<int>").dropDuplicates(["node"]), "sets")
+    of_node = stored(picked.select("node", "text").mapInArrow(sets, "node long, s array<long>").dropDuplicates(["node"]), "sets")
     both = pairs.join(of_node.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(of_node.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common >= least * (F.size("x") + F.size("y") - common)).where(F.size("x") > 0).select("a", "b")
@@ -564,12 +579,12 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             ids, node, segs, lanes = b.column(0), [], [], []
             for t in b.column(1):
                 w = words_of(t.as_py())
-                big, small = fingerprint_words(w, 2, 5), fingerprint_words(w, shingle, 4)
+                big, distinct = fingerprint_words(w, 2, 5), shingle_set(w, shingle)
                 whole = sum(x << 64 * i for i, x in enumerate(big))
                 seg = [whole >> 23 * i & 0x7FFFFF for i in range(WIDE_SEGMENTS)]
                 segs.append(np.array(seg, np.int32))
-                lanes.append(small)
-                node.append(xxhash.xxh64_intdigest(repr((seg, small)), SEED))
+                lanes.append(set_fingerprint(distinct, 4))
+                node.append(xxhash.xxh64_intdigest(distinct.tobytes(), SEED))
             lane = np.array(lanes, np.uint64).reshape(-1, 4).view(np.int64)
             flat = np.concatenate(segs) if segs else np.zeros(0, np.int32)
             seg_col = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, WIDE_SEGMENTS, dtype=np.int32)), pa.array(flat))
@@ -599,9 +614,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         of_node = of_node.withColumn("root", F.col("node")) if root is None else of_node.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
         rows = keyed.join(of_node, "node").select("key", "node", "root", "w0", "w1", "w2", "w3")
         dealt = rows.repartition("key").sortWithinPartitions("key", "node")
-        found = stored(dealt.mapInArrow(_candidates(root is not None, bits, run), "a long, b long, d int").distinct(), "candidates")
-        checked = alike(slim, prints.select("id", "h", "node"), found.where(F.col("d") > SURE_BITS).select("a", "b"), shingle)
-        return found.where(F.col("d") <= SURE_BITS).select("a", "b").union(checked)
+        found = stored(dealt.mapInArrow(_candidates(root is not None, bits, run), "a long, b long").distinct(), "candidates")
+        return alike(slim, prints.select("id", "h", "node"), found, shingle)
 
     comp = components(linked(None), "similar")
     more = linked(comp)

@@ -150,3 +150,10 @@ def test_crowd_similar_to_one_base_only(spark):
         rows.append(" ".join(w))
     rng.shuffle(rows)
     assert len(set(left_groups(spark, rows))) <= 5  # what shares no key is not met
+
+
+def test_repeated_lines_do_not_join(spark):
+    rng = np.random.default_rng(33)
+    line = [f"l{i}" for i in range(12)]
+    unlike = [" ".join([f"w{int(x)}" for x in rng.integers(0, 100000, 60)] + line * 40) for _ in range(60)]
+    assert len(set(left_groups(spark, unlike))) == 60
