@@ -17,8 +17,9 @@ within two bits of theirs (2081 each): two fingerprints are linked by a chain of
 exactly if they are by a chain of links, so hot groups cost a multiple of their size.
 
 `similar_components` is the form for a similarity of 0.8 of five-word shingles (about 10 of 64 bits,
-beyond what four errors reach): segments come from a wide fingerprint of word pairs, which edits
-disturb less, and what meets is compared on 256 bits of the five-word fingerprint,
+beyond what four errors reach): each text posts a fifth of its shingles and one more, the first in an
+order that all texts share, so that no pair at 0.8 goes without a common key; shingles that a sample
+has often come last in this order. What meets is compared on 256 bits of the five-word fingerprint,
 which is taken of the set of shingles. Up to `WIDE_BITS` two texts are candidates, whose Jaccard
 similarity is computed from their whole sets; texts of equal sets are one node. A first round checks a few
 candidates a row, which join most of what is alike: of small keys a spanning forest, nearest first, of
@@ -35,6 +36,7 @@ the query and kept by `deduplicated`. Texts of any length are hashed whole, in b
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -45,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm._shared import components, read_table, stored
+from tabloom.llm._shared import components, read_table, stored, unit_hash
 
 #: Fixed value: generator polynomial of the binary Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1.
 GOLAY = 0b110001110101
@@ -55,8 +57,11 @@ RUN = 4096
 #: Shingles hashed at a time.
 BLOCK = 1 << 16
 SEED = 42
-#: Wide form: segments of word-pair bits, equal bits beside an index, bits that may differ of 256.
-WIDE_SEGMENTS, WIDE_EQUAL, WIDE_BITS = 12, 10, 54
+#: Wide form: bits that may differ of 256, and how many more where the smaller set has few shingles.
+#: Pairs at 0.8 differ in 38 with a deviation of 5.7, sets of 4 and 5 in 48 with one of 6.3.
+WIDE_BITS, FEW, FEW_BITS = 64, 8, 24
+#: Wide form: texts sampled for common shingles, in how many of them these are, and most of them.
+SAMPLE, COMMON, MOST_COMMON = 5000, 10, 100_000
 #: Wide form: the similarity asked for.
 SIMILARITY = 0.8
 #: Wide form: most rows under one key that the first round compares with each other; beyond, it
@@ -205,15 +210,27 @@ def exact_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def wide_keys(seg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """seg (n, WIDE_SEGMENTS) of 23 bits: keys (segment's index, equal bits of the next)."""
-    rows, keys, owners = np.arange(len(seg)), [], []
-    for t in range(WIDE_SEGMENTS):
-        index, valid = near_codewords(seg[:, t])
-        equal = seg[:, (t + 1) % WIDE_SEGMENTS].astype(np.int64) & ((1 << WIDE_EQUAL) - 1)
-        keys.append(((np.int64(t) << 56) | (equal[:, None] << 24) | index.astype(np.int64))[valid])
-        owners.append(np.broadcast_to(rows[:, None], index.shape)[valid])
-    return np.concatenate(keys), np.concatenate(owners)
+def prefix_keys(s: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Of a sorted set of hashes its first in an order that all sets share (those in sorted `common`
+    last), so many that two sets of similarity `SIMILARITY` or more share one at least: of n
+    they have SIMILARITY * n in common, and what is not in common cannot fill the prefix."""
+    last = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s if len(common) else np.zeros(len(s), bool)
+    return np.concatenate([s[~last], s[last]])[: len(s) - math.ceil(SIMILARITY * len(s) - 1e-9) + 1]
+
+
+def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Sorted hashes of the shingles that a sample of docs(text) has often. It orders keys only, so
+    that few rows meet under them; what is found does not depend on it."""
+    share = SAMPLE / max(SAMPLE, docs.count())
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(words_of(t.as_py()), shingle).view(np.int64))], names=["s"])
+
+    sample = docs.where(unit_hash(F.col("text"), seed=SEED) < share).select("text").mapInArrow(sets, "s long")
+    often = sample.groupBy("s").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "s").limit(MOST_COMMON).select("s")
+    return np.sort(np.array([r["s"] for r in often.collect()], np.int64).view(np.uint64))
 
 
 # ---------------------------------------------------------------- comparing what meets
@@ -281,9 +298,15 @@ def links_in_runs(key: np.ndarray, node: np.ndarray, words: np.ndarray, bits: in
     return ids[moved], ids[lab[moved]]
 
 
-def _near_pairs(key: np.ndarray, root: np.ndarray, words: np.ndarray, bits: int, run: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Sorted keys; positions of all pairs of equal key and unlike roots that differ in `bits` at
-    most, and by how many: first those of all keys with `run` rows at most, then block by block."""
+def _may_be_alike(x: np.ndarray, y: np.ndarray, d: np.ndarray, bits: int) -> np.ndarray:
+    """Whether sets of x and y shingles, d bits of whose fingerprints differ, are candidates."""
+    small = np.minimum(x, y)
+    return (d <= bits + FEW_BITS * (small <= FEW)) & (small >= SIMILARITY * np.maximum(x, y) - 1e-9)
+
+
+def _near_pairs(key: np.ndarray, root: np.ndarray, much: np.ndarray, words: np.ndarray, bits: int, run: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sorted keys; positions of all candidates of equal key and unlike roots, and the bits that
+    differ: first those of all keys with `run` rows at most, then block by block."""
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[start, len(key)])
     of = np.repeat(size, size)
@@ -297,7 +320,8 @@ def _near_pairs(key: np.ndarray, root: np.ndarray, words: np.ndarray, bits: int,
         apart = root[x] != root[y]
         x, y = x[apart], y[apart]
         d = differing(words[x], words[y])
-        found.append((x[d <= bits], y[d <= bits], d[d <= bits]))
+        near = _may_be_alike(much[x], much[y], d, bits)
+        found.append((x[near], y[near], d[near]))
     yield tuple(np.concatenate(c) for c in zip(*found, strict=True))
     for s, n in zip(start[size > run], size[size > run], strict=True):
         _, back, count = np.unique(root[s : s + n], return_inverse=True, return_counts=True)
@@ -306,23 +330,24 @@ def _near_pairs(key: np.ndarray, root: np.ndarray, words: np.ndarray, bits: int,
         for at in range(0, len(few), step):
             i = few[at : at + step]
             d = differing(words[s + i, None], words[None, s : s + n])
-            x, y = np.nonzero((d <= bits) & (back[i, None] != back) & (most | (np.arange(n) > i[:, None])))
+            x, y = np.nonzero(_may_be_alike(much[s + i, None], much[None, s : s + n], d, bits) & (back[i, None] != back) & (most | (np.arange(n) > i[:, None])))
             yield s + i[x], s + y, d[x, y]
 
 
-def _near_centres(words: np.ndarray, bits: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _near_centres(much: np.ndarray, words: np.ndarray, bits: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of many rows under one key, pairs (x, y, d) that join most of what is alike, a few a row:
     neighbours, and rows with the one nearest to the majority of their bits; what this one does
     not reach has a centre of its own, while centres reach a sixteenth of it."""
     x, left = np.arange(len(words) - 1), np.arange(len(words))
     d = differing(words[x], words[x + 1])
-    found = [(x[d <= bits], x[d <= bits] + 1, d[d <= bits])]
+    near = _may_be_alike(much[x], much[x + 1], d, bits)
+    found = [(x[near], x[near] + 1, d[near])]
     while len(left) > run:
         w = words[left]
         centre = np.array([majority(w[:, i]) for i in range(w.shape[1])], np.uint64)
         at = differing(w, centre).argmin()
         d = differing(w, w[at])
-        near = d <= bits
+        near = _may_be_alike(much[left], much[left[at]], d, bits)
         found.append((np.full(near.sum(), left[at]), left[near], d[near]))
         if near.sum() * 16 < len(left):
             break
@@ -356,25 +381,25 @@ def _once(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, ...]
 
 
 def _candidates(every: bool, bits: int, run: int):
-    """For mapInArrow over rows (key, node, root, w0, w1, ...) sorted by key: candidates (a, b) of
-    equal key and unlike roots that differ in `bits` at most: all of them, if `every`, else a few a
+    """For mapInArrow over rows (key, node, root, much, w0, w1, ...) sorted by key: candidates
+    (a, b) of equal key and unlike roots: all of them, if `every`, else a few a
     row that join most of what is alike. A key's rows are held together."""
 
-    def chosen(key: np.ndarray, node: np.ndarray, root: np.ndarray, words: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    def chosen(key: np.ndarray, node: np.ndarray, root: np.ndarray, much: np.ndarray, words: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         if every:
-            for x, y, d in _near_pairs(key, root, words, bits, run):
+            for x, y, d in _near_pairs(key, root, much, words, bits, run):
                 ids, a, b = _once(node[x], node[y], d)
                 yield ids[a], ids[b]
             return
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[start, len(key)])
         few = np.flatnonzero(~np.repeat(size > run, size))
-        for x, y, d in _near_pairs(key[few], root[few], words[few], bits, run):
+        for x, y, d in _near_pairs(key[few], root[few], much[few], words[few], bits, run):
             ids, a, b = _once(node[few[x]], node[few[y]], d)
             kept = _forest(np.arange(len(ids)), a, b)[0]
             yield ids[a[kept]], ids[b[kept]]
         for s, n in zip(start[size > run], size[size > run], strict=True):
-            x, y, d = _near_centres(words[s : s + n], bits, run)
+            x, y, d = _near_centres(much[s : s + n], words[s : s + n], bits, run)
             ids, a, b = _once(node[s + x], node[s + y], d)
             yield ids[a], ids[b]
 
@@ -394,8 +419,8 @@ def _candidates(every: bool, bits: int, run: int):
 
         for b in batches:
             if b.num_rows:
-                words = np.stack([c.to_numpy() for c in b.columns[3:]], axis=1).view(np.uint64)
-                held.append((*(b.column(i).to_numpy() for i in range(3)), words))
+                words = np.stack([c.to_numpy() for c in b.columns[4:]], axis=1).view(np.uint64)
+                held.append((*(b.column(i).to_numpy() for i in range(4)), words))
                 rows += b.num_rows
                 if rows >= enough:
                     yield from flush(False)
@@ -574,45 +599,34 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(id, component_id) for every row: components of texts whose five-word shingles have a
     Jaccard similarity of `SIMILARITY` or are equal."""
 
-    def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, node, segs, lanes = b.column(0), [], [], []
-            for t in b.column(1):
-                w = words_of(t.as_py())
-                big, distinct = fingerprint_words(w, 2, 5), shingle_set(w, shingle)
-                whole = sum(x << 64 * i for i, x in enumerate(big))
-                seg = [whole >> 23 * i & 0x7FFFFF for i in range(WIDE_SEGMENTS)]
-                segs.append(np.array(seg, np.int32))
-                lanes.append(set_fingerprint(distinct, 4))
-                node.append(xxhash.xxh64_intdigest(distinct.tobytes(), SEED))
-            lane = np.array(lanes, np.uint64).reshape(-1, 4).view(np.int64)
-            flat = np.concatenate(segs) if segs else np.zeros(0, np.int32)
-            seg_col = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, WIDE_SEGMENTS, dtype=np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([ids, b.column(2), pa.array(signed(node)), seg_col, *(pa.array(lane[:, i]) for i in range(4))], names=["id", "h", "node", "seg", "w0", "w1", "w2", "w3"])
-
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(text_col).cast("string")
     slim = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
-    prints = stored(slim.mapInArrow(wide, f"id {kind}, h long, node long, seg array<int>, w0 long, w1 long, w2 long, w3 long"), "prints")
-    words = [F.min(c).alias(c) for c in ("w0", "w1", "w2", "w3")]
+    common = common_shingles(slim, shingle)
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            seg = b.column(1).flatten().to_numpy().reshape(-1, WIDE_SEGMENTS)
-            for at in range(0, len(seg), 4096):
-                key, owner = wide_keys(seg[at : at + 4096])
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(b.column(0).to_numpy()[at : at + 4096][owner])], names=["key", "node"])
-
-    keyed = prints.groupBy("node").agg(F.min("seg").alias("seg")).mapInArrow(post, "key long, node long")
+            for at in range(0, b.num_rows, 1000):
+                part, node, much, lanes, keys = b.slice(at, 1000), [], [], [], []
+                for t in part.column(1):
+                    distinct = shingle_set(words_of(t.as_py()), shingle)
+                    node.append(xxhash.xxh64_intdigest(distinct.tobytes(), SEED))
+                    much.append(len(distinct))
+                    lanes.append(set_fingerprint(distinct, 4))
+                    keys.append(prefix_keys(distinct, common).view(np.int64))
+                lane = np.array(lanes, np.uint64).reshape(-1, 4).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(signed(node)), pa.array(much, pa.int64()), pa.array(keys, pa.list_(pa.int64())), *(pa.array(lane[:, i]) for i in range(4))], names=["id", "h", "node", "much", "keys", "w0", "w1", "w2", "w3"])
+
+    prints = stored(slim.mapInArrow(wide, f"id {kind}, h long, node long, much long, keys array<long>, w0 long, w1 long, w2 long, w3 long"), "prints")
+    words = [F.min(c).alias(c) for c in ("much", "w0", "w1", "w2", "w3")]
+    keyed = prints.dropDuplicates(["node"]).select(F.explode("keys").alias("key"), "node")
     keyed = stored(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, node long"), "keyed")
 
     def linked(root: DataFrame | None) -> DataFrame:
         """Links (a, b) between nodes that root(node, root) holds apart."""
         of_node = prints.groupBy("node").agg(*words)
         of_node = of_node.withColumn("root", F.col("node")) if root is None else of_node.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        rows = keyed.join(of_node, "node").select("key", "node", "root", "w0", "w1", "w2", "w3")
+        rows = keyed.join(of_node, "node").select("key", "node", "root", "much", "w0", "w1", "w2", "w3")
         dealt = rows.repartition("key").sortWithinPartitions("key", "node")
         found = stored(dealt.mapInArrow(_candidates(root is not None, bits, run), "a long, b long").distinct(), "candidates")
         return alike(slim, prints.select("id", "h", "node"), found, shingle)

@@ -149,7 +149,7 @@ def test_crowd_similar_to_one_base_only(spark):
             w[int(at)] = f"new{i}x{j}"
         rows.append(" ".join(w))
     rng.shuffle(rows)
-    assert len(set(left_groups(spark, rows))) <= 5  # what shares no key is not met
+    assert len(set(left_groups(spark, rows))) == 1
 
 
 def test_repeated_lines_do_not_join(spark):
@@ -157,3 +157,24 @@ def test_repeated_lines_do_not_join(spark):
     line = [f"l{i}" for i in range(12)]
     unlike = [" ".join([f"w{int(x)}" for x in rng.integers(0, 100000, 60)] + line * 40) for _ in range(60)]
     assert len(set(left_groups(spark, unlike))) == 60
+
+
+def test_appended_cut_and_short_texts_are_found(spark):
+    rng = np.random.default_rng(32)
+    rows = []
+    for words, more in ((200, 48), (200, 40), (200, 30), (30, 6), (30, 3), (9, -1), (40, -7)):
+        for _ in range(100):
+            w = [f"w{int(x)}" for x in rng.integers(0, 100000, words)]
+            rows += [" ".join(w), " ".join(w[:more] if more < 0 else w + [f"m{int(x)}" for x in rng.integers(0, 100000, more)])]
+    got = left_groups(spark, rows)
+    assert sum(got[i] != got[i + 1] for i in range(0, len(rows), 2)) == 0 and len(set(got)) == len(rows) // 2
+
+
+def test_repeated_lines_do_not_part(spark):
+    rng = np.random.default_rng(34)
+    rows = []
+    for _ in range(60):
+        w = [f"w{int(x)}" for x in rng.integers(0, 100000, 150)]
+        rows += [" ".join(w), " ".join(w + w[-12:] * 11)]
+    got = left_groups(spark, rows)
+    assert sum(got[i] != got[i + 1] for i in range(0, 120, 2)) == 0 and len(set(got)) == 60
