@@ -178,3 +178,17 @@ def test_repeated_lines_do_not_part(spark):
         rows += [" ".join(w), " ".join(w + w[-12:] * 11)]
     got = left_groups(spark, rows)
     assert sum(got[i] != got[i + 1] for i in range(0, 120, 2)) == 0 and len(set(got)) == 60
+
+
+def test_no_candidate_is_left_unchecked():
+    """Many pairs just below the similarity, whatever their number: the second round names them all."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(35)
+    key = np.repeat(np.arange(3), (10, 64, 300))
+    node, root, much = np.arange(len(key)), rng.integers(0, 40, len(key)), rng.integers(90, 120, len(key))
+    words = rng.integers(0, 2**64, 4, dtype=np.uint64) ^ (rng.integers(0, 2**64, (len(key), 4), dtype=np.uint64) & rng.integers(0, 2**64, (len(key), 4), dtype=np.uint64) & rng.integers(0, 2**64, (len(key), 4), dtype=np.uint64))
+    rows = pa.RecordBatch.from_arrays([pa.array(x) for x in (key, node, root, much, *words.view(np.int64).T)], names=["key", "node", "root", "much", "w0", "w1", "w2", "w3"])
+    got = [p for b in S._candidates(True, 56, 64)(iter([rows.slice(0, 50), rows.slice(50)])) for p in zip(*b.to_pydict().values(), strict=True)]
+    near = (S.differing(words[:, None], words[None]) <= 56) & (key[:, None] == key) & (root[:, None] != root) & (np.minimum(much[:, None], much) >= 0.8 * np.maximum(much[:, None], much) - 1e-9)
+    assert set(got) == {(int(x), int(y)) for x, y in zip(*np.nonzero(near), strict=True) if x < y} and len(got) > 5000
