@@ -1,10 +1,13 @@
+import math
 import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tabloom.llm import mixing as M
 from tabloom.llm import sharding as S
+from tabloom.llm._shared import unit_hash
 
 
 def test_shards_are_even_and_mixed(spark):
@@ -32,41 +35,103 @@ def test_sharding_cases(spark, messy, monkeypatch):
     assert S.sharded(messy.limit(0)).count() == 0
 
 
-def test_targets():
-    assert M.targets({"a": 100, "b": 100, None: 100}) == {"a": 200.0, "b": pytest.approx(250 / 3), None: pytest.approx(500 / 3)}
-    assert M.targets({"a": 0, "b": 10}) == {"a": 0.0, "b": pytest.approx(15.0)}
-    assert M.targets({}) == {}
-
-
-def test_mix_comes_near_its_targets(spark):
-    rows = [(i, "w " * (1 + i * i % 97), f"s{i % 5}" if i % 9 else None) for i in range(2000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    slim = df.select("doc_id", "source", M.n_words("text").alias("size"))
-    got = M.pareto_copies(slim, "doc_id", "size", "source").collect()
-    assert len(got) == 2000 and all(0 <= r["copies"] <= 2 for r in got)
-    want = M.targets({s: sum(r["size"] for r in got if r["source"] == s) for s in {r["source"] for r in got}})
-    for s, t in want.items():
+def plain_targets(sizes):
+    order = sorted(s for s in sizes if s is not None) + [s for s in sizes if s is None]
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    free, out, left = set(order), {}, 1.5 * sum(sizes.values())
+    while free:
+        unit = left / sum(weight[s] for s in free)
+        over = {s for s in free if unit * weight[s] > 2 * sizes[s]}
+        if not over:
+            return out | {s: unit * weight[s] for s in free}
+        out |= {s: 2.0 * sizes[s] for s in over}
+        left -= sum(2 * sizes[s] for s in over)
+        free -= over
+    return out
+
+
+@pytest.mark.parametrize("sizes", [{"a": 100, "b": 100, None: 100}, {"a": 0, "b": 10}, {None: 5}, {f"s{i:02}": (i * 37) % 50 for i in range(40)}])
+def test_targets(spark, sizes):
+    df = spark.createDataFrame([(None if s is None else "=" + s, n) for s, n in sizes.items()], "src string, source_size long").na.fill("", ["src"])
+    got = {r["src"][1:] or None: r["target"] for r in M.targets(df).collect()}
+    assert got == pytest.approx(plain_targets(sizes))
+    assert M.targets(df.where("false")).count() == 0
+
+
+def plain_mix(spark, rows):
+    """Brute force of the whole query: {(id, source, size, nth): copies}. Only the random numbers are Spark's."""
+    seen, named = Counter(), []
+    for i, source, size in rows:
+        named.append((i, source, size, seen[i, source, size]))
+        seen[i, source, size] += 1
+    df = spark.createDataFrame(named, "id long, source string, size long, nth long")
+    u = {tuple(r)[:4]: r["u"] for r in df.withColumn("u", unit_hash(*[F.col(c) for c in df.columns], seed=M.SEED)).collect()}
+    sizes = Counter()
+    for _, source, size, _ in named:
+        sizes[source] += size
+    out = {}
+    for source, target in plain_targets(sizes).items():
+        own = [x for x in named if x[1] == source]
+        whole = math.floor(target / sizes[source] + 1e-12) if sizes[source] else 0
+        want = max(0.0, target - whole * sizes[source])
+        x = {d: 2 ** (math.floor(math.log2(d[2] ** M.LEAN) * M.OCTAVE) / M.OCTAVE) for d in own if d[2]}
+        p, certain = {}, set()
+        while x and want and len(certain) < len(x):
+            rest = [d for d in x if d not in certain]
+            c = (want - sum(d[2] for d in certain)) / sum(x[d] * d[2] for d in rest)
+            p = {d: 1.0 if d in certain else c * x[d] for d in x}
+            more = {d for d in rest if p[d] > 1}
+            if not more:
+                break
+            certain |= {d for d in rest if x[d] == max(x[e] for e in more)}
+        odds = {d: u[d] / (1 - u[d]) / (q / (1 - q)) if q < 1 else 0.0 for d, q in p.items() if q > 0}
+        taken, left = set(), want
+        for d in sorted(odds, key=odds.get):
+            if d[2] > left:
+                break
+            taken.add(d)
+            left -= d[2]
+        for _ in range(M.FILLS):
+            best = min((d for d in odds if d not in taken and abs(d[2] - left) < left), key=lambda d: (abs(d[2] - left), odds[d]), default=None)
+            if best:
+                taken.add(best)
+                left -= best[2]
+        out |= {d: (whole + (d in taken) if d[2] else 0) for d in own}
+    return out
+
+
+def test_mix_against_brute_force(spark):
+    rows = [(i, f"s{i % 5}" if i % 9 else None, 1 + i * i % 97 if i % 50 else 3000) for i in range(1500)]
+    rows += [(7000, "r", 11)] * 40 + [(7001, "r", 0)] * 3 + [(None, "r", 5), (None, "r", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    got = M.pareto_copies(df, "doc_id", "size", "source").collect()
+    want = plain_mix(spark, rows)
+    assert {(r["id"], r["source"], r["size"], r["nth"]): r["copies"] for r in got} == want and len(got) == len(rows)
+    for s, t in plain_targets({s: sum(r[2] for r in rows if r[1] == s) for s in {r[1] for r in rows}}).items():
         own = [r for r in got if r["source"] == s]
-        assert own[0]["target"] == pytest.approx(t) and abs(sum(r["size"] * r["copies"] for r in own) - t) <= 0.01 * t + 1
-    again = M.pareto_copies(slim.repartition(3), "doc_id", "size", "source").collect()
-    assert sorted((r["doc_id"], r["copies"]) for r in got) == sorted((r["doc_id"], r["copies"]) for r in again)
+        assert own[0]["target"] == pytest.approx(t) and abs(sum(r["size"] * r["copies"] for r in own) - t) <= 0.02 * t
+    again = M.pareto_copies(df.repartition(3), "doc_id", "size", "source").collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
 
+def test_of_equal_rows_only_some_are_taken(spark):
+    df = spark.createDataFrame([(1, "a", 100)] * 100 + [(2, "b", 50), (3, "c", 70)] * 9, "doc_id long, source string, size long")
+    got = M.pareto_copies(df, "doc_id", "size", "source").where("source = 'a'").collect()
+    assert abs(sum(r["size"] * r["copies"] for r in got) - got[0]["target"]) < 100 and {r["copies"] for r in got} == {1, 2}
 
-def test_pareto_sample_is_a_prefix_of_its_order(spark):
-    """Brute force: equal sizes leave nothing to fill, so the sample is the first of the random order."""
-    df = spark.createDataFrame([(i, "s", 1) for i in range(300)], "doc_id long, source string, size long")
-    got = {r["doc_id"]: r["copies"] for r in M.pareto_copies(df, "doc_id", "size", "source").collect()}
-    from tabloom.llm._shared import unit_hash
-    from pyspark.sql import functions as F
 
-    order = [r["doc_id"] for r in df.orderBy(unit_hash(F.col("doc_id"), F.col("source"), F.col("size"), seed=M.SEED)).collect()]
-    assert [got[i] for i in order] == [2] * 150 + [1] * 150
+def test_longer_texts_are_likelier(spark):
+    rows = [(i, "many", 400 if i % 2 else 4) for i in range(4000)] + [(i, s, 2000) for i in range(40_000, 40_400) for s in ("bulk", "rest")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    got = M.pareto_copies(df, "doc_id", "size", "source").where("source = 'many'").collect()
+    n = Counter((r["size"], r["copies"]) for r in got)
+    assert got[0]["target"] < got[0]["source_size"] and n[400, 1] > 5 * n[4, 1] > 0
 
 
 def test_weights_raise_inclusion(spark):
     df = spark.createDataFrame([(i, "s", 1, 1.9 if i % 2 else 0.1) for i in range(2000)], "doc_id long, source string, size long, w double")
-    got = M.pareto_copies(df, "doc_id", "size", "source", "w").collect()
-    n = Counter((r["w"], r["copies"]) for r in got)
+    got = M.pareto_copies(df, "doc_id", "size", "source", "w")
+    n = Counter((r["w"], r["copies"]) for r in got.join(df.select(F.col("doc_id").alias("id"), "w"), "id").collect())
     assert n[1.9, 2] > 5 * n[0.1, 2] and n[1.9, 2] + n[0.1, 2] == 1000
 
 
