@@ -48,6 +48,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a stored table that nothing will read again."""
+    jvm = df.sparkSession._jvm
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -87,7 +95,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     but their number reaches the driver.
     """
     links = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
-    labels = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("root", F.col("node"))
+    labels = stored(links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("root", F.col("node")), name)
     while not links.isEmpty():
         both = links.union(links.select("b", "a"))
         step = both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("p"))
@@ -95,10 +103,13 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             up = step.select(F.col("a").alias("p"), F.col("p").alias("pp"))
             step = step.join(up, "p", "left").select("a", F.coalesce("pp", "p").alias("p"))
         step = stored(step, name)
-        labels = labels.join(step.withColumnRenamed("a", "root"), "root", "left").select("node", F.coalesce("p", "root").alias("root"))
         moved = links.join(step.withColumnRenamed("p", "pa"), "a").join(step.select(F.col("a").alias("b"), F.col("p").alias("pb")), "b")
         # a node that others now point at but that points on itself stays tied to its pointer
         halfway = step.where("a <> p").join(step.select(F.col("p").alias("a")).distinct(), "a", "left_semi")
         moved = moved.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
+        old = links, labels, step
         links = stored(moved.union(halfway.select("p", "a")).distinct(), name)
-    return stored(labels, name)
+        labels = stored(labels.join(step.withColumnRenamed("a", "root"), "root", "left").select("node", F.coalesce("p", "root").alias("root")), name)
+        for table in old:
+            dropped(table)
+    return labels
