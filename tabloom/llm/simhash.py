@@ -24,9 +24,10 @@ which is taken of the set of shingles. Up to `WIDE_BITS` two texts are candidate
 similarity is computed from their whole sets; texts of equal sets are one node. A first round checks a few
 candidates a row, which join most of what is alike: of small keys a spanning forest, nearest first, of
 large ones pairs with the rows nearest to their majority. The second round checks all candidates
-between the groups that this has made, so that a group costs a multiple of its size, and only what
-stays apart a square. Keys are dealt without words at first, and only rows whose key another row
-shares go on.
+between the groups that this has made, without a row for each: groups that candidates tie together
+form a cluster, what is not in a cluster's largest group meets all of it in blocks of
+`BLOCK_SHINGLES` shingles, and a pair of blocks yields only links. Keys are dealt without words at
+first, and only rows whose key another row shares go on.
 
 Defined results: text null, empty or blank -> no words, fingerprint zero, linked like any other;
 doc_id null -> takes part, but never names a component (one of null ids only has null; see
@@ -67,6 +68,8 @@ SIMILARITY = 0.8
 #: Wide form: most rows under one key that the first round compares with each other; beyond, it
 #: holds them against centres. The second round compares all that are still apart.
 WIDE_RUN = 64
+#: Wide form: shingles of the texts of one block in which what is still apart is compared.
+BLOCK_SHINGLES = 1 << 20
 #: Most texts that are picked for checking by a broadcast of their keys.
 BROADCAST_TEXTS = 500_000
 
@@ -374,30 +377,36 @@ def _once(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, ...]
     """Pairs of unlike nodes, each once, the nearest first: (nodes, positions of a and b in them)."""
     ids, back = np.unique(np.r_[a, b], return_inverse=True)
     a, b = np.minimum(back[: len(a)], back[len(a) :]), np.maximum(back[: len(a)], back[len(a) :])
-    _, once = np.unique(a * max(1, len(ids)) + b, return_index=True)
-    once = once[a[once] != b[once]]
-    once = once[np.lexsort((b[once], a[once], d[once]))]
-    return ids, a[once], b[once]
+    order = np.lexsort((d, b, a))
+    first = order[np.r_[True, (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)]] if len(order) else order
+    first = first[a[first] != b[first]]
+    first = first[np.lexsort((b[first], a[first], d[first]))]
+    return ids, a[first], b[first]
 
 
-def _candidates(every: bool, bits: int, run: int):
-    """For mapInArrow over rows (key, node, root, much, w0, w1, ...) sorted by key: candidates
-    (a, b) of equal key and unlike roots: all of them, if `every`, else a few a
-    row that join most of what is alike. A key's rows are held together."""
+def _candidates(groups: bool, bits: int, run: int):
+    """For mapInArrow over rows (key, node, root, much, w0, w1, ...) sorted by key. With `groups`:
+    which roots candidates of equal key tie together, as a forest (a, b) of roots. Else a
+    few candidates (a, b) a row that join most of what is alike. A key's rows are held together."""
+
+    def forest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids, a, b = _once(a, b, d)
+        kept = _forest(np.arange(len(ids)), a, b)[0]
+        return ids[a[kept]], ids[b[kept]]
 
     def chosen(key: np.ndarray, node: np.ndarray, root: np.ndarray, much: np.ndarray, words: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        if every:
-            for x, y, d in _near_pairs(key, root, much, words, bits, run):
-                ids, a, b = _once(node[x], node[y], d)
-                yield ids[a], ids[b]
+        if groups:
+            held = (node[:0], node[:0])
+            for x, y, _ in _near_pairs(key, root, much, words, bits, run):
+                a, b = np.r_[held[0], root[x]], np.r_[held[1], root[y]]
+                held = forest(a, b, np.zeros(len(a), np.int64))
+            yield held
             return
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[start, len(key)])
         few = np.flatnonzero(~np.repeat(size > run, size))
         for x, y, d in _near_pairs(key[few], root[few], much[few], words[few], bits, run):
-            ids, a, b = _once(node[few[x]], node[few[y]], d)
-            kept = _forest(np.arange(len(ids)), a, b)[0]
-            yield ids[a[kept]], ids[b[kept]]
+            yield forest(node[few[x]], node[few[y]], d)
         for s, n in zip(start[size > run], size[size > run], strict=True):
             x, y, d = _near_centres(much[s : s + n], words[s : s + n], bits, run)
             ids, a, b = _once(node[s + x], node[s + y], d)
@@ -572,9 +581,9 @@ def op6_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def alike(texts: DataFrame, prints: DataFrame, pairs: DataFrame, shingle: int, least: float = SIMILARITY) -> DataFrame:
-    """Those pairs(a, b) of nodes whose shingles' Jaccard similarity is `least` or more. texts(id,
-    text, h) is read once more, for one text of each node(prints: id, h, node) that a pair names."""
+def sets_of(texts: DataFrame, prints: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
+    """(node, s): the sorted hashes of the shingles of asked(node). texts(id, text, h) is read once more, for
+    one text of each node(prints: id, h, node)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -583,18 +592,71 @@ def alike(texts: DataFrame, prints: DataFrame, pairs: DataFrame, shingle: int, l
                 of = [shingle_set(words_of(t.as_py()), shingle).view(np.int64) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(of, pa.list_(pa.int64()))], names=["node", "s"])
 
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     one = prints.join(asked, "node", "left_semi").groupBy("node").agg(F.min(F.struct("h", "id")).alias("r"))
     one = stored(one.select("node", F.col("r.h").alias("rh"), F.col("r.id").alias("rid")), "asked")
     if one.count() <= BROADCAST_TEXTS:  # a checked size; beyond it the join shuffles
         one = F.broadcast(one)
     picked = texts.join(one, (F.col("h") == F.col("rh")) & F.col("id").eqNullSafe(F.col("rid")))
-    of_node = stored(picked.select("node", "text").mapInArrow(sets, "node long, s array<long>").dropDuplicates(["node"]), "sets")
+    return stored(picked.select("node", "text").mapInArrow(sets, "node long, s array<long>").dropDuplicates(["node"]), "sets")
+
+
+def alike(texts: DataFrame, prints: DataFrame, pairs: DataFrame, shingle: int, least: float = SIMILARITY) -> DataFrame:
+    """Those pairs(a, b) of nodes whose shingles' Jaccard similarity is `least` or more."""
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    of_node = sets_of(texts, prints, asked, shingle)
     both = pairs.join(of_node.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(of_node.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common >= least * (F.size("x") + F.size("y") - common)).where(F.size("x") > 0).select("a", "b")
 
 
+def block_links(rows: pa.Table, bits: int, least: float = SIMILARITY) -> pa.Table:
+    """rows(i, j, block, node, root, much, w0.., s) of two blocks i and j (or of one): links (a, b) of
+    nodes that differ in root, joining whatever is at `least`; roots once joined are not compared again."""
+    block, node, root, much = (rows.column(c).to_numpy() for c in ("block", "node", "root", "much"))
+    words = np.stack([rows.column(f"w{k}").to_numpy() for k in range(4)], axis=1).view(np.uint64)
+    lists = rows.column("s").combine_chunks()
+    value, at = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    same, (_, lab) = rows.column("i")[0] == rows.column("j")[0], np.unique(root, return_inverse=True)
+    xs, ys = np.flatnonzero(block == rows.column("i")[0].as_py()), np.flatnonzero(block == rows.column("j")[0].as_py())
+    a, b = [], []
+    for k, x in enumerate(xs):
+        rest = ys[k + 1 :] if same else ys
+        rest = rest[lab[rest] != lab[x]]
+        rest = rest[_may_be_alike(much[x], much[rest], differing(words[rest], words[x]), bits)] if len(rest) else rest
+        own = value[at[x] : at[x + 1]]
+        if not len(rest) or not len(own):
+            continue
+        size = at[rest + 1] - at[rest]
+        begin = np.r_[0, np.cumsum(size)[:-1]]
+        theirs = value[np.repeat(at[rest] - begin, size) + np.arange(size.sum())]
+        hit = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+        common = np.add.reduceat(np.r_[hit, False].astype(np.int64), begin)
+        for y in rest[common >= least * (size + len(own) - common)]:
+            if lab[y] != lab[x]:
+                a.append(node[x])
+                b.append(node[y])
+                lab[lab == lab[y]] = lab[x]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def linked_in_blocks(texts: DataFrame, prints: DataFrame, of_node: DataFrame, ties: DataFrame, shingle: int, bits: int, size: int = BLOCK_SHINGLES) -> DataFrame:
+    """Links (a, b) between nodes of unlike roots that ties(a, b) of roots bring into one cluster.
+    of_node(node, root, much, w0..). All of a cluster but its largest root's nodes meet all of it."""
+    clusters = components(ties, "clusters")
+    rows = stored(of_node.join(clusters.select(F.col("node").alias("root"), F.col("root").alias("cluster")), "root"), "apart")
+    heavy = rows.groupBy("cluster", "root").agg(F.sum(F.col("much") + 16).alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
+    blocks = lambda n: F.greatest(F.ceil(n / F.lit(size)), F.lit(1))
+    heavy = heavy.select("cluster", F.col("top.root").alias("most"), blocks(F.col("n") - F.col("top.n")).alias("n_few"), blocks(F.col("top.n")).alias("n_most"))
+    dealt = rows.join(stored(heavy, "clusters"), "cluster")
+    few, h = F.col("root") != F.col("most"), F.xxhash64(F.lit(SEED), "node")
+    block = F.when(few, F.pmod(h, F.col("n_few"))).otherwise(F.col("n_few") + F.pmod(h, F.col("n_most")))
+    last = F.when(few, F.col("n_few") + F.col("n_most")).otherwise(F.col("n_few")) - 1
+    dealt = dealt.withColumn("block", block).withColumn("last", last).drop("most", "n_few", "n_most")
+    met = dealt.join(sets_of(texts, prints, rows.select("node"), shingle), "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
+    met = met.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("last", "other")
+    return met.groupBy("cluster", "i", "j").applyInArrow(lambda t: block_links(t, bits), "a long, b long")
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bits: int = WIDE_BITS, run: int = WIDE_RUN) -> DataFrame:
     """(id, component_id) for every row: components of texts whose five-word shingles have a
     Jaccard similarity of `SIMILARITY` or are equal."""
@@ -622,17 +684,17 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keyed = prints.dropDuplicates(["node"]).select(F.explode("keys").alias("key"), "node")
     keyed = stored(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, node long"), "keyed")
 
-    def linked(root: DataFrame | None) -> DataFrame:
-        """Links (a, b) between nodes that root(node, root) holds apart."""
-        of_node = prints.groupBy("node").agg(*words)
-        of_node = of_node.withColumn("root", F.col("node")) if root is None else of_node.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    of_node = prints.groupBy("node").agg(*words)
+
+    def candidates(of_node: DataFrame, groups: bool) -> DataFrame:
         rows = keyed.join(of_node, "node").select("key", "node", "root", "much", "w0", "w1", "w2", "w3")
         dealt = rows.repartition("key").sortWithinPartitions("key", "node")
-        found = stored(dealt.mapInArrow(_candidates(root is not None, bits, run), "a long, b long").distinct(), "candidates")
-        return alike(slim, prints.select("id", "h", "node"), found, shingle)
+        return stored(dealt.mapInArrow(_candidates(groups, bits, run), "a long, b long").distinct(), "candidates")
 
-    comp = components(linked(None), "similar")
-    more = linked(comp)
+    few = candidates(of_node.withColumn("root", F.col("node")), False)
+    comp = components(alike(slim, prints.select("id", "h", "node"), few, shingle), "similar")
+    of_node = stored(of_node.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
+    more = linked_in_blocks(slim, prints.select("id", "h", "node"), of_node, candidates(of_node, True), shingle, bits)
     comp = components(comp.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "similar")
     return named(prints.select("id", "node"), comp).select("id", "component_id")
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -181,14 +182,54 @@ def test_repeated_lines_do_not_part(spark):
 
 
 def test_no_candidate_is_left_unchecked():
-    """Many pairs just below the similarity, whatever their number: the second round names them all."""
-    import pyarrow as pa
-
+    """Many pairs just below the similarity, whatever their number: the second round ties all their roots."""
     rng = np.random.default_rng(35)
     key = np.repeat(np.arange(3), (10, 64, 300))
-    node, root, much = np.arange(len(key)), rng.integers(0, 40, len(key)), rng.integers(90, 120, len(key))
-    words = rng.integers(0, 2**64, 4, dtype=np.uint64) ^ (rng.integers(0, 2**64, (len(key), 4), dtype=np.uint64) & rng.integers(0, 2**64, (len(key), 4), dtype=np.uint64) & rng.integers(0, 2**64, (len(key), 4), dtype=np.uint64))
+    node, root, much = np.arange(len(key)), rng.integers(1000, 1200, len(key)), rng.integers(90, 120, len(key))
+    words = rng.integers(0, 2**64, (30, 4), dtype=np.uint64)[root % 30] ^ (rng.integers(0, 2**64, (len(key), 4), dtype=np.uint64) & rng.integers(0, 2**64, (len(key), 4), dtype=np.uint64) & rng.integers(0, 2**64, (len(key), 4), dtype=np.uint64))
     rows = pa.RecordBatch.from_arrays([pa.array(x) for x in (key, node, root, much, *words.view(np.int64).T)], names=["key", "node", "root", "much", "w0", "w1", "w2", "w3"])
     got = [p for b in S._candidates(True, 56, 64)(iter([rows.slice(0, 50), rows.slice(50)])) for p in zip(*b.to_pydict().values(), strict=True)]
     near = (S.differing(words[:, None], words[None]) <= 56) & (key[:, None] == key) & (root[:, None] != root) & (np.minimum(much[:, None], much) >= 0.8 * np.maximum(much[:, None], much) - 1e-9)
-    assert set(got) == {(int(x), int(y)) for x, y in zip(*np.nonzero(near), strict=True) if x < y} and len(got) > 5000
+    x, y = np.nonzero(near)
+    names = np.arange(2000)
+    want, lab = S._rooted(2000, root[x], root[y]), S._rooted(2000, *(np.array(c) for c in zip(*got)))
+    assert (want == lab).all() and len(got) == len(set(root)) - len(set(lab[root])) > 50 and len(names) == 2000
+
+
+def jaccard_groups(sets, lab):
+    """Brute force: groups after links of similarity 0.8 between all pairs."""
+    lab = np.array(lab)
+    while True:
+        new = np.array([min(lab[j] for j in range(len(sets)) if i == j or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) for i in range(len(sets))])
+        new = np.minimum(new, [min(new[lab == x]) for x in lab])
+        if (new == lab).all():
+            return lab
+        lab = new
+
+
+@pytest.mark.parametrize("size", [1 << 20, 200])
+def test_blocks_against_all_pairs(spark, size):
+    """The second round, in one block and in many: links join what brute force joins."""
+    rng = np.random.default_rng(41)
+    base, texts = [f"w{int(x)}" for x in rng.integers(0, 5000, 60)], []
+    for i in range(90):
+        w = list(base)
+        for at in rng.choice(60, int(rng.integers(1, 4)), replace=False):
+            w[int(at)] = f"n{i}x{int(at)}"
+        texts.append(" ".join(w))
+    sets = [S.shingle_set(S.words_of(t), 5) for t in texts]
+    node = [int(x) for x in S.signed(xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets)]
+    root = [node[i - i % 3] if i < 30 else node[i] for i in range(90)]
+    lanes = [[int(x) for x in S.signed(S.set_fingerprint(s, 4))] for s in sets]
+    of_node = spark.createDataFrame([(n, r, len(s), *w) for n, r, s, w in zip(node, root, sets, lanes)], "node long, root long, much long, w0 long, w1 long, w2 long, w3 long")
+    prints = spark.createDataFrame([(i, i, n) for i, n in enumerate(node)], "id long, h long, node long")
+    docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "id long, text string, h long")
+    ties = spark.createDataFrame([(node[0], n) for n in set(root) - {node[0]}], "a long, b long")
+    links = S.linked_in_blocks(docs, prints, of_node, ties, 5, 256, size).collect()
+    at = {n: i for i, n in enumerate(node)}
+    plain = [set(s.tolist()) for s in sets]
+    assert all(len(plain[at[r["a"]]] & plain[at[r["b"]]]) >= 0.8 * len(plain[at[r["a"]]] | plain[at[r["b"]]]) for r in links)
+    start = [at[r] for r in root]
+    got = S._rooted(90, np.array([at[r["a"]] for r in links] + list(range(90))), np.array([at[r["b"]] for r in links] + start))
+    want = jaccard_groups(plain, start)
+    assert len(set(zip(got, want))) == len(set(got)) == len(set(want)) > 1
