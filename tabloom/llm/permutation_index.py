@@ -1,26 +1,29 @@
 """Approximate nearest neighbours with a permutation index.
 
 `PIVOTS` vectors serve as pivots: unlike ones among `SAMPLED` times as many that are chosen by hash
-(a bounded sample, documented parameters). A vector is represented by the order of its `PREFIX` nearest pivots. The rows are cut
-into blocks of about `BLOCK` vectors; each block posts them in its own inverted files, one a pivot,
-with the pivot's place in the vector's order. A query walks the files of its own nearest pivots and
-adds up what its places agree with the posted ones: prefix length minus the difference of places,
-which ranks by Spearman's footrule with absent pivots at the prefix's end. The block's best
-`CANDIDATES` share, and whatever agrees almost as well as the best, is reranked by cosine on the original vectors, in double precision, and the
+(a bounded sample, documented parameters), for each length of vector apart. A vector is represented
+by the order of its `PREFIX` nearest pivots. The rows of a length are cut into blocks of about
+`BLOCK` vectors; each block posts them in its own inverted files, one a pivot, with the pivot's
+place in the vector's order. A query walks the files of its own `LISTS` nearest pivots and adds up
+what its places agree with the posted ones: prefix length minus the difference of places, which
+ranks by Spearman's footrule with absent pivots at the prefix's end. The block's best `CANDIDATES`
+share, and whatever agrees almost as well as the best, is reranked by cosine on the original
+vectors, in double precision, each row summed alone, so that equal vectors have equal scores; the
 best of all blocks are merged.
 
-Every query meets every block (the stated query set against all rows, in blocks); what leaves a
-block is its k best only. Recall at 5 against brute force is checked by the tests: above 0.9.
+Every query meets every block of its length (the stated query set against all rows, in blocks); what
+leaves a block is its k best only. Recall at 5 against brute force is checked by the tests: above 0.9.
 
-Defined results: a vector that is null, empty, zero, of another length than most pivots, or holds
-null or non-finite components takes no part, nor does a row without vec_id; rows that repeat a
-vec_id count once, by their best score, and are no candidates of that id's query; ties go to the
-smaller vec_id; an empty table gives an empty result; extra columns are ignored.
+Defined results: a vector that is null, empty, zero, or holds null or non-finite components takes
+no part, nor does a row without vec_id; vectors of unlike lengths have no cosine and do not meet;
+where the sample has no vector of a length, all of that length is reranked; rows equal in vec_id and
+vector are one; rows that repeat a vec_id count once, by their best score, and are no candidates of
+that id's query; a query id with several vectors asks by the smallest (compared component by
+component); ties go to the smaller vec_id; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +34,7 @@ from tabloom.llm._shared import read_table, stored
 
 PIVOTS = 512
 PREFIX = 128
+LISTS = 32
 BLOCK = 4096
 CANDIDATES = 0.05
 #: All vectors of at least this share of the best agreement are reranked too, however many.
@@ -75,66 +79,73 @@ def spread(sample: np.ndarray, n: int) -> np.ndarray:
 class Block:
     """Inverted files over the vectors of one block: by pivot, vector numbers and places."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> None:
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray | None, prefix: int, lists: int) -> None:
         order = np.argsort(ids, kind="stable")
-        self.ids, self.unit, self.pivots, self.prefix = ids[order], unit(vectors[order]), pivots, prefix
-        pivot, place = places(self.unit, pivots, prefix)
-        flat = np.argsort(pivot.ravel(), kind="stable")
-        self.members = (flat // prefix).astype(np.int32)
-        self.places = place.ravel()[flat].astype(np.int32)
-        self.start = np.searchsorted(pivot.ravel()[flat], np.arange(len(pivots) + 1))
-
-    def search(self, query: np.ndarray, query_id: int, k: int, share: float, least: int) -> tuple[np.ndarray, np.ndarray]:
-        n, own = len(self.ids), places(query[None], self.pivots, self.prefix)[0][0]
+        self.ids, self.unit, self.pivots = ids[order], unit(vectors[order]), pivots
+        if pivots is not None:
+            self.prefix = min(prefix, len(pivots))
+            self.lists = min(lists, self.prefix)
+            pivot, place = places(self.unit, pivots, self.prefix)
+            flat = np.argsort(pivot.ravel(), kind="stable")
+            self.members = (flat // self.prefix).astype(np.int32)
+            self.places = place.ravel()[flat].astype(np.int32)
+            self.start = np.searchsorted(pivot.ravel()[flat], np.arange(len(pivots) + 1))
+
+    def near(self, query: np.ndarray, query_id: int, share: float, least: int) -> np.ndarray:
+        """Numbers of the vectors to rerank."""
+        n = len(self.ids)
+        if self.pivots is None or n <= least:
+            return np.flatnonzero(self.ids != query_id)
         agree = np.zeros(n, np.int32)
-        for place, pivot in enumerate(own):
+        for place, pivot in enumerate(places(query[None], self.pivots, self.prefix)[0][0][: self.lists]):
             a, b = self.start[pivot], self.start[pivot + 1]
             agree[self.members[a:b]] += self.prefix - np.abs(self.places[a:b] - place)
         agree[self.ids == query_id] = -1
         keep = min(n, max(least, int(share * n)))
-        # the numbers follow the ids, so ties stay with smaller ids
-        rank = agree.astype(np.int64) * n + (n - 1 - np.arange(n))
-        last = np.partition(rank, n - keep)[n - keep]
+        last = np.partition(agree, n - keep)[n - keep]
         # places cannot tell a crowd of like vectors apart: all that agree almost as well are reranked
-        near = np.flatnonzero((agree >= 0) & ((rank >= last) | (agree >= CROWD * agree.max())))
-        score = self.unit[near] @ query
+        return np.flatnonzero((agree >= 0) & ((agree >= last) | (agree >= CROWD * agree.max())))
+
+    def search(self, query: np.ndarray, query_id: int, k: int, share: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+        near = self.near(query, query_id, share, least)
+        score = (self.unit[near] * query).sum(axis=1)  # a row alone and in a fixed order
         best = np.lexsort((self.ids[near], -score))[:k]
         return self.ids[near][best], score[best]
 
 
+def pivots_of(rows: DataFrame, pivots: int) -> dict[int, np.ndarray]:
+    """Pivots by length of vector, from a bounded sample."""
+    key = F.xxhash64(F.lit(SEED), "vec_id", "v")
+    chosen = rows.orderBy(key, "vec_id", "v").limit(pivots * SAMPLED).select("v").collect()
+    by: dict[int, list] = {}
+    for r in chosen:
+        by.setdefault(len(r["v"]), []).append(r["v"])
+    return {n: spread(unit(np.array(v)), pivots) for n, v in by.items()}
+
 
-def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, pivots: int = PIVOTS, prefix: int = PREFIX, block: int = BLOCK, share: float = CANDIDATES, least: int = LEAST_CANDIDATES) -> DataFrame:
+def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, pivots: int = PIVOTS, prefix: int = PREFIX, block: int = BLOCK, share: float = CANDIDATES, least: int = LEAST_CANDIDATES, lists: int = LISTS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of df found for each row of queries."""
     spark = df.sparkSession
-    rows, asked = stored(usable(df, id_col, vec_col), "vectors"), usable(queries, id_col, vec_col)
-    schema = "query_id long, rank int, vec_id long, score double"
-    chosen = rows.orderBy(F.xxhash64(F.lit(SEED), "vec_id"), "vec_id").limit(pivots * SAMPLED).select("v").collect()
-    if not chosen:
-        return spark.createDataFrame([], schema)
-    lengths = [len(r["v"]) for r in chosen]
-    dim = max(set(lengths), key=lambda n: (lengths.count(n), -n))
-    points = spread(unit(np.array([r["v"] for r in chosen if len(r["v"]) == dim])), pivots)
-    shared, prefix = spark.sparkContext.broadcast(points), min(prefix, len(points))
-    rows, asked = rows.where(F.size("v") == dim), asked.where(F.size("v") == dim).dropDuplicates(["vec_id"])
-    n_blocks = max(1, -(-rows.count() // block))
-    # rows go to blocks by a hash of all they hold and their place, so copies spread
-    placed = rows.select(F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n_blocks)).cast("int").alias("block"), "vec_id", "v")
-    sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), "vec_id", "v")
+    # equal rows are one, added up before the shuffle: copies make no block large
+    rows = stored(usable(df, id_col, vec_col).distinct().withColumn("dim", F.size("v")), "vectors")
+    asked = usable(queries, id_col, vec_col).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    shared = spark.sparkContext.broadcast(pivots_of(rows, pivots))
+    sizes = stored(rows.groupBy("dim").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("n")), "lengths")
+    placed = rows.join(sizes, "dim").select("dim", F.pmod(F.xxhash64("vec_id", "v"), F.col("n")).cast("int").alias("block"), "vec_id", "v")
+    sent = asked.join(sizes, "dim").select("dim", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"), "vec_id", "v")
 
     def find(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        index = Block(left["vec_id"].to_numpy(np.int64), np.stack(left["v"].to_numpy()), shared.value, prefix)
-        ids, found, scores = [], [], []
-        asked_units = unit(np.stack(right["v"].to_numpy()))
-        for qid, q in zip(right["vec_id"].to_numpy(np.int64), asked_units, strict=True):
-            near, score = index.search(q, int(qid), k, share, least)
-            ids.append(np.full(len(near), qid))
-            found.append(near)
-            scores.append(score)
+        ids, found, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if len(left) and len(right):
+            index = Block(left["vec_id"].to_numpy(np.int64), np.stack(left["v"].to_numpy()), shared.value.get(int(key[0])), prefix, lists)
+            for qid, q in zip(right["vec_id"].to_numpy(np.int64), unit(np.stack(right["v"].to_numpy())), strict=True):
+                near, score = index.search(q, int(qid), k, share, least)
+                ids.append(np.full(len(near), qid))
+                found.append(near)
+                scores.append(score)
         return pd.DataFrame({"query_id": np.concatenate(ids), "vec_id": np.concatenate(found), "score": np.concatenate(scores)})
 
-    hits = placed.groupBy("block").cogroup(sent.groupBy("block")).applyInPandas(find, "query_id long, vec_id long, score double")
+    hits = placed.groupBy("dim", "block").cogroup(sent.groupBy("dim", "block")).applyInPandas(find, "query_id long, vec_id long, score double")
     hits = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
