@@ -1,17 +1,18 @@
 """URL filtering by a path-template tree learned per host.
 
-Hosts' paths become nodes level by level (`DEPTH` levels; what lies deeper is one tail node).
-At each level, under each template so far,
+Hosts' paths become nodes of a tree down to their last segment, however deep. What all paths of a node
+begin with is taken in one step; where they part, under each template so far,
 
-* a segment is generalised to a wildcard if it is numeric or holds digits, or if its siblings are
-  so many and so rarely repeated that the position is variable;
-* the siblings left are merged into the wildcard `~` if the share of blocked pages among a
-  branch's labelled pages differs from that of its siblings taken together by less than the
-  Hoeffding bound of both counts: branches that look alike statistically become one template.
+* a segment is generalised to the wildcard `*` if it is numeric or holds digits, or if its siblings
+  are so many and so rarely repeated that the position is variable;
+* the siblings left fall into thirds by the share of blocked among their labelled pages, and those of
+  a third whose share differs from that of the others in it by less than the Hoeffding bound of both
+  counts merge into one branch, `~` and the third: branches that look alike statistically become one
+  template. Segments that begin with one of these signs or `=` get a `=` before them.
 
 Labels are the verdicts of the stated rules on the pages that a rule covers. A template's purity
 is its blocked share smoothed by its parent's (`STRENGTH` pseudo-pages), a root's by that of the
-same template over all hosts, that by the overall share. A page without rule is blocked if its
+same template over all hosts, that by the overall share (nodes at which no paths part are one). A page without rule is blocked if its
 deepest template's purity exceeds `REJECT`. The tables of a level have a row per host, template
 and segment, added up before the shuffle; pages meet them by joins that skew handling can split.
 
@@ -31,7 +32,6 @@ from tabloom.llm._shared import read_table, stored
 
 #: (verdict, host, path): a rule fits its host and its subdomains; the longest wins.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-DEPTH = 4
 #: A position is variable from so many different segments on, if so few pages share one on average.
 VARIABLE_VALUES, VARIABLE_SHARE = 12, 4.0
 #: Chance that branches with one true share are told apart.
@@ -65,54 +65,67 @@ def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rule
     return rows.select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.col("_r.verdict").alias("verdict"))
 
 
-def template_tree(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Paths of rows(host, path, verdict) -> shapes(host, shape, template, n pages, m labelled, b blocked).
+def _plain(seg: Column) -> Column:
+    return F.when(seg.contains("#"), F.lit("*")).otherwise(F.regexp_replace(seg, "^([*~=])", "=$1"))
+
+
+def template_tree(rows: DataFrame, strength: float = STRENGTH) -> DataFrame:
+    """Paths of rows(host, path, verdict) -> (host, shape, template, m labelled, b blocked, own, rest): the
+    purity of a shape is own + rest * that of its template over all hosts.
 
     Works on distinct (host, path) shapes with their counts, whose digits are already one sign,
-    so that a host's numbered pages are one row.
+    so that a host's numbered pages are one row. Each round takes all nodes to where their paths part.
     """
-    plain = F.regexp_replace("path", "[0-9]+", "#")
-    shapes = rows.groupBy("host", plain.alias("shape")).agg(F.count("*").alias("n"), F.count("verdict").alias("m"), F.sum((F.col("verdict") == "block").cast("long")).alias("b")).na.fill(0, ["b"])
+    shape = F.regexp_replace("path", "[0-9]+", "#")
+    shapes = rows.groupBy("host", shape.alias("shape")).agg(F.count("*").alias("n"), F.count("verdict").alias("m"), F.coalesce(F.sum((F.col("verdict") == "block").cast("long")), F.lit(0)).alias("b"))
     parts = F.split(F.regexp_replace("shape", "^/", ""), "/")
-    head = F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth), F.array(F.lit("~tail")))).otherwise(parts)
-    shapes = stored(shapes.select("host", "shape", head.alias("parts"), "n", "m", "b", F.lit("").alias("template")), "shapes")
-    for level in range(depth):
-        seg = F.get(F.col("parts"), F.lit(level))
-        by = shapes.where(seg.isNotNull()).groupBy("host", "template", seg.alias("seg")).agg(*[F.sum(c).alias(c) for c in "nmb"])
-        # totals of the siblings come by a join: a window would bring a hot host into one task
-        of_all = by.groupBy("host", "template").agg(F.count("*").alias("values"), *[F.sum(c).alias(f"all_{c}") for c in "nmb"])
-        by = by.join(of_all, ["host", "template"])
+    columns = ["host", "shape", "parts", "template", "n", "m", "b", "own", "rest"]
+    left = stored(shapes.withColumn("parts", parts).withColumn("template", F.lit("")).withColumn("own", F.lit(0.0)).withColumn("rest", F.lit(1.0)).select(columns), "shapes")
+    done: list[DataFrame] = []
+    while not done or not left.isEmpty():
+        # the smallest and the largest of a node's paths part where all do
+        node = left.groupBy("host", "template").agg(F.min("parts").alias("lo"), F.max("parts").alias("hi"), F.sum("m").alias("tm"), F.sum("b").alias("tb"))
+        parted = F.array_position(F.zip_with("lo", "hi", lambda x, y: x.eqNullSafe(y)), F.lit(False))
+        node = node.select("host", "template", "tm", "tb", F.when(parted == 0, F.size("lo")).otherwise(parted - 1).cast("int").alias("k"))
+        met = left.join(node, ["host", "template"]).withColumn("own", (F.col("tb") + strength * F.col("own")) / (F.col("tm") + strength)).withColumn("rest", strength * F.col("rest") / (F.col("tm") + strength))
+        begin = F.transform(F.slice("parts", F.lit(1), F.col("k")), lambda x: F.concat(F.lit("/"), _plain(x)))
+        met = met.withColumn("template", F.concat("template", F.array_join(begin, ""))).withColumn("parts", F.slice("parts", F.col("k") + 1, F.size("parts")))
+        met = stored(met.select(columns), "shapes")
+        done.append(met.where(F.size("parts") == 0).drop("parts"))
+        seg = F.get("parts", F.lit(0))
+        further = met.where(F.size("parts") > 0).withColumn("seg", seg)
+        by = further.groupBy("host", "template", "seg").agg(*[F.sum(c).alias(c) for c in "nmb"]).withColumn("third", F.when(F.col("m") > 0, F.least(F.floor(3 * F.col("b") / F.col("m")), F.lit(2))))
+        # totals of the siblings come by joins: a window would bring a hot host into one task
+        of_all = by.groupBy("host", "template").agg(F.count("*").alias("values"), F.sum("n").alias("all_n"))
+        of_third = by.where("third IS NOT NULL").groupBy("host", "template", "third").agg(F.count("*").alias("alike"), F.sum("m").alias("all_m"), F.sum("b").alias("all_b"))
+        by = by.join(of_all, ["host", "template"]).join(of_third, ["host", "template", "third"], "left")
         variable = F.col("seg").contains("#") | ((F.col("values") >= VARIABLE_VALUES) & (F.col("all_n") < VARIABLE_SHARE * F.col("values")))
-        own, rest = F.col("m"), F.col("all_m") - F.col("m")
-        apart = F.abs(F.col("b") / own - (F.col("all_b") - F.col("b")) / rest)
-        bound = F.lit(math.sqrt(math.log(2 / ALPHA) / 2)) * (1 / F.sqrt(own) + 1 / F.sqrt(rest))
-        alike = (F.col("values") > 1) & (own > 0) & (rest > 0) & (apart < bound)
-        wild = by.select("host", "template", "seg", F.when(variable, "*").when(alike, "~").otherwise(F.col("seg")).alias("to"))
-        shapes = shapes.withColumn("seg", seg).join(wild, ["host", "template", "seg"], "left")
-        shapes = shapes.withColumn("template", F.when(F.col("to").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "to"))).drop("seg", "to")
-        shapes = stored(shapes, "shapes")
-    return shapes
-
-
-def purity(shapes: DataFrame, depth: int = DEPTH, strength: float = STRENGTH) -> DataFrame:
+        own, others = F.col("m"), F.col("all_m") - F.col("m")
+        apart = F.abs(F.col("b") / own - (F.col("all_b") - F.col("b")) / others)
+        bound = F.lit(math.sqrt(math.log(2 / ALPHA) / 2)) * (1 / F.sqrt(own) + 1 / F.sqrt(others))
+        alike = (F.col("alike") > 1) & (own > 0) & (others > 0) & (apart < bound)
+        wild = by.select("host", "template", "seg", F.when(variable, "*").when(alike, F.concat(F.lit("~"), F.col("third").cast("string"))).otherwise(_plain(F.col("seg"))).alias("to"))
+        further = further.join(wild, ["host", "template", "seg"])
+        further = further.withColumn("template", F.concat_ws("/", "template", "to")).withColumn("parts", F.slice("parts", F.lit(2), F.size("parts")))
+        left = stored(further.select(columns), "shapes")
+    out = done[0]
+    for table in done[1:]:
+        out = out.unionByName(table)
+    return out.drop("n")
+
+
+def purity(shapes: DataFrame, strength: float = STRENGTH) -> DataFrame:
     """(host, shape, template, purity): the blocked share of each template, smoothed by its
     parent's, the root's by the template's share over all hosts."""
     whole = shapes.agg(((F.coalesce(F.sum("b"), F.lit(0)) + 1) / (F.coalesce(F.sum("m"), F.lit(0)) + 2)).alias("overall"))
-    smooth = lambda b, m, prior: (b + strength * prior) / (m + strength)
-    out = shapes.crossJoin(F.broadcast(whole))
-    shared = shapes.groupBy("template").agg(F.sum("m").alias("gm"), F.sum("b").alias("gb"))
-    out = out.join(shared, "template").withColumn("p", smooth(F.col("gb"), F.col("gm"), F.col("overall"))).drop("gm", "gb", "overall")
-    for level in range(depth + 1):
-        cut = F.substring_index("template", "/", level + 1)
-        by = shapes.groupBy("host", cut.alias("t")).agg(F.sum("m").alias("tm"), F.sum("b").alias("tb"))
-        out = out.withColumn("t", cut).join(by, ["host", "t"]).withColumn("p", smooth(F.col("tb"), F.col("tm"), F.col("p"))).drop("t", "tm", "tb")
-    return out.select("host", "shape", "template", F.col("p").alias("purity"))
-
-
-def judged(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
+    shared = shapes.groupBy("template").agg(F.sum("m").alias("gm"), F.sum("b").alias("gb")).crossJoin(F.broadcast(whole))
+    shared = shared.select("template", ((F.col("gb") + strength * F.col("overall")) / (F.col("gm") + strength)).alias("p"))
+    return shapes.join(shared, "template").select("host", "shape", "template", (F.col("own") + F.col("rest") * F.col("p")).alias("purity"))
+
+
+def judged(rows: DataFrame) -> DataFrame:
     """rows(page_id, host, path, rule, verdict) with verdict complete, plus template and purity."""
-    shapes = template_tree(rows, depth)
-    known = purity(shapes, depth)
+    known = purity(template_tree(rows))
     out = rows.withColumn("shape", F.regexp_replace("path", "[0-9]+", "#")).join(known, ["host", "shape"])
     verdict = F.coalesce("verdict", F.when(F.col("purity") > REJECT, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")

@@ -1,4 +1,9 @@
+import math
+import random
 import re
+from collections import defaultdict
+
+import pytest
 
 from tabloom.llm import url_filter as U
 
@@ -43,4 +48,88 @@ def test_templates_follow_their_labels(spark):
 def test_like_branches_merge(spark):
     rows = [(f"/{w}/{i}", "block" if i % 2 else "allow") for w in ("a", "b", "c") for i in range(30)]
     df = spark.createDataFrame([(i, "h.org", p, v, v) for i, (p, v) in enumerate(rows)], "page_id long, host string, path string, rule string, verdict string")
-    assert {r["template"] for r in U.judged(df).collect()} == {"/~/*"}
+    assert {r["template"] for r in U.judged(df).collect()} == {"/~1/*"}
+
+
+def plain_tree(rows):
+    """Brute force: (host, path) -> template and purity, by recursion over whole lists of pages."""
+    sign = lambda x: "*" if "#" in x else re.sub("^([*~=])", r"=\1", x)
+    pages = [(h, re.sub("[0-9]+", "#", p), v) for h, p, v in rows]
+    found, chains = {}, {}
+
+    def walk(host, own, template, chain):
+        """own: (shape, segments left, verdict) of the pages of a node."""
+        told = [v for *_, v in own if v]
+        chain = [*chain, (told.count("block"), len(told))]
+        k = 0
+        while all(len(s) > k for _, s, _ in own) and len({s[k] for _, s, _ in own}) == 1:
+            k += 1
+        template += "".join("/" + sign(x) for x in own[0][1][:k])
+        own = [(a, s[k:], v) for a, s, v in own]
+        for a, s, _ in own:
+            if not s:
+                found[host, a], chains[host, a] = template, chain
+        by = defaultdict(list)
+        for a, s, v in own:
+            if s:
+                by[s[0]].append((a, s[1:], v))
+        share = {}
+        for x, part in by.items():
+            told = [v for *_, v in part if v]
+            share[x] = (told.count("block"), len(told), min(3 * told.count("block") // len(told), 2) if told else None)
+        groups = defaultdict(list)
+        total = sum(map(len, by.values()))
+        for x, part in by.items():
+            b, m, third = share[x]
+            others = [y for y in by if y != x and share[y][2] == third]
+            ob, om = sum(share[y][0] for y in others), sum(share[y][1] for y in others)
+            if "#" in x or len(by) >= U.VARIABLE_VALUES and total < U.VARIABLE_SHARE * len(by):
+                to = "*"
+            elif m and others and abs(b / m - ob / om) < math.sqrt(math.log(2 / U.ALPHA) / 2) * (m**-0.5 + om**-0.5):
+                to = f"~{third}"
+            else:
+                to = sign(x)
+            groups[to] += part
+        for to, part in groups.items():
+            walk(host, part, f"{template}/{to}", chain)
+
+    for host in {h for h, *_ in pages}:
+        walk(host, [(p, re.sub("^/", "", p).split("/"), v) for h, p, v in pages if h == host], "", [])
+    blocked, labelled = sum(v == "block" for *_, v in pages), sum(v is not None for *_, v in pages)
+    every = (blocked + 1) / (labelled + 2)
+    out = {}
+    for key, t in found.items():
+        told = [v for h, p, v in pages if found[h, p] == t and v]
+        x = (told.count("block") + U.STRENGTH * every) / (len(told) + U.STRENGTH)
+        for b, m in chains[key]:
+            x = (b + U.STRENGTH * x) / (m + U.STRENGTH)
+        out[key] = (t, x)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_templates_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(600):
+        n = rng.choice((0, 1, 2, 3, 7))
+        path = "".join("/" + rng.choice(("a", "b", "c", "p1", "p22", "*", "~1", "=x", f"v{rng.choice('abcdefghijklmnopq')}")) for _ in range(n)) + rng.choice(("", "/", "/long/way/down/to/here"))
+        block = 0.9 if path.startswith("/a") else 0.1
+        rows.append((rng.choice(("h.org", "q.org", "hot.org", "hot.org")), path, rng.choice((None, "block" if rng.random() < block else "allow"))))
+    df = spark.createDataFrame([(i, h, p, v, v) for i, (h, p, v) in enumerate(rows)], "page_id long, host string, path string, rule string, verdict string")
+    want = plain_tree(rows)
+    got = U.judged(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        t, x = want[r["host"], re.sub("[0-9]+", "#", r["path"])]
+        assert r["template"] == t and r["purity"] == pytest.approx(x), r
+        h, p, v = rows[r["page_id"]]
+        assert r["verdict"] == (v or ("block" if x > U.REJECT else "allow"))
+
+
+def test_very_long_paths(spark):
+    deep = "/x" * 5000
+    rows = [("h.org", deep + "/y"), ("h.org", deep + "/z"), ("h.org", deep), ("q.org", "/" + "w" * 200_000)]
+    df = spark.createDataFrame([(i, h, p, None, None) for i, (h, p) in enumerate(rows)], "page_id long, host string, path string, rule string, verdict string")
+    got = {r["page_id"]: r["template"] for r in U.judged(df).collect()}
+    assert got == {i: p for i, (_, p) in enumerate(rows)}
