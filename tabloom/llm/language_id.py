@@ -7,7 +7,8 @@ is; a narrow margin rejects the text. Texts are compressed whole, in pieces of `
 that the dictionary, not the text's own beginning, explains each piece.
 
 Fitting: a dictionary holds the words that most documents of a language have, the most frequent
-last (nearest to the text). They come from a bounded sample of labelled rows, `SAMPLE_ROWS`
+last (nearest to the text): texts as they stand repeat their common words, so that `DICT_BYTES` of them
+hold a fraction of the words that as many bytes of different words do. They come from a bounded sample of labelled rows, `SAMPLE_ROWS`
 documents a language chosen by hash, and fill `DICT_BYTES` at most (documented parameters).
 
 Defined results: text null, empty or without a letter -> `und`, score 0, rejected; no labelled

@@ -15,8 +15,10 @@ from tabloom.llm.warc import op4_warc
 
 QUERIES = {f.__name__: f for f in (op1_permutation_index, op2_html_text, op3_url_templates, op4_warc, op5_latent_decontamination, op6_simhash_golay, op7_sharding, op8_lattice_lm, op9_pareto_mixing, op10_language_id)}
 
-#: op4's result is fixed by its contract. The other operators' results rest on hashes, searches
-#: or models that SQL lacks or has in another form; tests/llm hold them against brute force.
+#: op4's result is fixed by its contract. The other operators' results rest on hashes, searches or
+#: models that SQL lacks or has in another form. tests/llm hold them against brute force: op1's exact
+#: neighbours, op2's templates, op3's rules and templates, op5's windows, op6's and the pipeline's
+#: groups, op7's ranks, op8's counts and scores, op9's whole mix; op10 by held-out accuracy.
 SQL = {
     "op4_warc": """
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages),

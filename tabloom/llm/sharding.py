@@ -12,7 +12,8 @@ bucket (see prefix_within), a bucket being about one part in `BUCKETS` of a sour
 Defined results: source null -> a source of its own; text null -> size 1, CRC of no bytes (0);
 repeated rows are interchangeable, each gets its own slot; ties in the random order go by
 doc_id; an empty table gives an empty result; columns shard and slot of the input are replaced,
-other extra columns are kept. Equal texts are not held together: the law `rows` has no groups.
+other extra columns are kept. Equal texts are not held together: a group of copies
+larger than a shard cannot be while counts stay one apart, so the law `rows` and groups exclude each other.
 """
 
 from __future__ import annotations

@@ -55,6 +55,8 @@ GOLAY = 0b110001110101
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 #: Most fingerprints under one key that are compared with each other directly.
 RUN = 4096
+#: Fingerprints under such keys that a task takes.
+HOT_ROWS = 4096
 #: Shingles hashed at a time.
 BLOCK = 1 << 16
 SEED = 42
@@ -534,11 +536,12 @@ def link_exact(prints: DataFrame, run: int = RUN) -> DataFrame:
     keyed = prints.select("fp").mapInArrow(post, "key long, node long").select("key", "node", F.col("node").alias("w0"))
     dealt = keyed.repartition("key").sortWithinPartitions("key")
     found = stored(dealt.mapInArrow(_linker(1, 4, run), "a long, b long").distinct(), "links")
-    hot = found.where("b is null").select("a").distinct()
+    hot = stored(found.where("b is null").select("a").distinct(), "hot")
     links = found.where("b is not null")
     if hot.isEmpty():
         return links
-    words = hot.mapInArrow(_ball, "word long, node long")
+    tasks = -(-hot.count() // HOT_ROWS)  # each row becomes 2081
+    words = hot.repartition(tasks, "a").mapInArrow(_ball, "word long, node long")
     return links.union(_stars(words))
 
 
@@ -703,8 +706,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row of each group: that of the smallest id, rows without id after all others; rows equal
     in id and text count once. Rows travel as one struct, so their columns' names clash with none."""
     text = F.xxhash64(text_col)
-    # a row without id stands under a number from its text, beyond the range of ids
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(text, 3))
+    if docs.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        # a row without id stands under a number from its text, beyond the range of ids
+        key = F.coalesce(F.col(id_col).cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(text, 3))
+    else:  # ids of other kinds go by their text
+        key = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.concat(F.lit("~"), F.hex(text)))
     rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("id"), text.alias("h"), F.col(text_col).alias("text"))
     groups = similar_components(rows, "id", "text")
     names = groups.where(F.col("id") == F.col("component_id")).select("id").distinct()

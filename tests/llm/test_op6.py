@@ -82,6 +82,8 @@ def test_near_duplicates_stage(spark):
     assert left.columns == df.columns
     assert sorted((str(r["doc_id"]) for r in left.collect()), key=str) == sorted([*map(str, range(60)), "300", "302", "None"], key=str)
     assert S.deduplicated(df.where(F.lit(False))).count() == 0
+    named = df.where("doc_id < 210 OR doc_id IS NULL").withColumn("doc_id", F.concat(F.lit("id"), F.col("doc_id").cast("string")))
+    assert S.deduplicated(named).count() == 61
 
 
 def test_similar_groups_against_exact_similarity(spark):

@@ -24,6 +24,23 @@ def test_shards_are_even_and_mixed(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, S.interleave(df.repartition(5), ["doc_id"]).collect()))
 
 
+def test_shards_against_a_plain_ranking(spark):
+    """Brute force: each source in order of its random numbers, all sources merged by fractional rank, cut evenly."""
+    rows = [(i, "hot" if i % 3 else f"s{i % 7}" if i % 5 else None) for i in range(1003)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    named = df.withColumn("src", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    told = named.select("doc_id", "src", unit_hash(F.col("doc_id"), F.col("src"), seed=S.SEED).alias("u"), F.xxhash64("src").alias("h")).collect()
+    order = []
+    for s in {r["src"] for r in told}:
+        own = sorted((r for r in told if r["src"] == s), key=lambda r: r["u"])
+        order += [((k + 0.5) / len(own), r["h"], s, r["u"], r["doc_id"]) for k, r in enumerate(own)]
+    want = {}
+    for pos, x in enumerate(sorted(order)):
+        shard = next(k for k in range(8) if pos < -(-(k + 1) * len(rows) // 8))
+        want[x[4]] = (shard, pos - -(-shard * len(rows) // 8))
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in S.interleave(df, ["doc_id"], buckets=16).collect()} == want
+
+
 def test_sharding_cases(spark, messy, monkeypatch):
     monkeypatch.setattr(S, "read_table", lambda *a: messy)
     got = S.op7_sharding(spark, "").collect()
