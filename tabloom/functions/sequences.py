@@ -93,9 +93,11 @@ def rolling_median(df: DataFrame, keys: list[str], at: str, value: str, width: i
 
 
 def rolled(df: DataFrame, keys: list[str], at: str, value: str, shifts: list[int]) -> DataFrame:
-    """Circular lags: one array look-up per shift into the key's own values."""
-    whole = W.partitionBy(*keys).orderBy(at).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    out = df.withColumn("_all", F.collect_list(value).over(whole))
+    """Circular lags of positions 0 to n - 1: a row's values come by a join on the positions they go to."""
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    values = df.select(*keys, F.col(at).alias("_at"), F.col(value).alias("_v")).join(sizes, keys)
+    out = df
     for s in shifts:
-        out = out.withColumn(f"{value}_roll_{s}".replace("-", "m"), F.get("_all", F.pmod(F.col(at) - s, F.size("_all")).cast("int")))
-    return out.drop("_all")
+        sent = values.select(*keys, F.pmod(F.col("_at") + s, F.col("_n")).alias(at), F.col("_v").alias(f"{value}_roll_{s}".replace("-", "m")))
+        out = out.join(sent, [*keys, at])
+    return out

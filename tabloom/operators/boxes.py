@@ -22,6 +22,12 @@ def within(l: Column, t: Column, r: Column, b: Column, x0, y0, x1, y1) -> Column
     return (t >= y0) & (l >= x0) & (b <= y1) & (r <= x1)
 
 
+def contained(boxes: DataFrame, rectangles: DataFrame, keys: list[str]) -> DataFrame:
+    """Boxes with each rectangle (x0, y0, x1, y1) of their key that holds them wholly."""
+    c = F.col
+    return boxes.join(rectangles, keys).where(within(c("l"), c("t"), c("r"), c("b"), c("x0"), c("y0"), c("x1"), c("y1")))
+
+
 def _banded(df: DataFrame, top: str, bottom: str, band: int) -> DataFrame:
     low = F.floor(F.col(top) / band)
     return df.withColumn("_band", F.explode(F.sequence(low, F.greatest(low, F.floor(F.col(bottom) / band)))))

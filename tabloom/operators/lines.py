@@ -146,11 +146,12 @@ def reading_order(words: DataFrame, keys: list[str], band: int = 15) -> DataFram
     return words.groupBy(*keys).agg(F.concat_ws(" ", F.transform(parts, lambda p: p["text"])).alias("text"))
 
 
-def with_table_ends(axis: DataFrame, ink: DataFrame, keys: list[str], at: str = "y") -> DataFrame:
+def with_table_ends(axis: DataFrame, ink: DataFrame, lines: DataFrame, keys: list[str], at: str = "y") -> DataFrame:
     """between_lines' rows with the stretches before the first and after the last text line judged:
-    from the first inked row on, and up to the last one, they separate; without ink, a fifth next
-    to the text does. The half of each stretch that touches the text counts to the text's line.
-    ink(keys, at): rows that are not white."""
+    from the first inked row on, and up to the row after the last one, they separate; without ink,
+    the last fifth of the first stretch and the first four fifths of the last one do. The half of each
+    that touches the text counts to the text's line, and what follows from the lines is told anew.
+    ink(keys, at): rows that are not white; lines(keys, seq, next_start_like, caps, next_caps)."""
     last = F.max("text_line").over(W.partitionBy(*keys))
     rows = axis.withColumn("_last", last).join(ink.select(*keys, at).distinct().withColumn("_ink", F.lit(1)), [*keys, at], "left")
     head, tail = F.col("text_line") == 0, (F.col("text_line") == F.col("_last")) & (F.col("text_line") > 0)
@@ -159,10 +160,15 @@ def with_table_ends(axis: DataFrame, ink: DataFrame, keys: list[str], at: str =
     inked = F.col("_ink").isNotNull()
     rows = rows.withColumn("_h1", pick(F.max, head)).withColumn("_hi", pick(F.min, head & inked)).withColumn("_t0", pick(F.min, tail)).withColumn("_t1", pick(F.max, tail)).withColumn("_ti", pick(F.max, tail & inked))
     start = F.when(F.col("_hi") < F.col("_h1"), F.col("_hi")).otherwise(F.floor(F.col("_h1") / 5) * 4)
-    end = F.coalesce("_ti", F.col("_t0") + F.floor((F.col("_t1") - F.col("_t0") + 1) / 5))
+    end = F.coalesce(F.col("_ti") + 1, F.col("_t1") + 1 - F.floor((F.col("_t1") - F.col("_t0") + 1) / 5))
     rows = rows.withColumn("_s", start).withColumn("_e", end)
     between = F.when(head & (F.col(at) >= F.col("_s")), 1).when(tail & (F.col(at) <= F.col("_e")), 1).when(head | tail, 0).otherwise(F.col("between"))
     near_head = head & (F.col(at) >= F.col("_s") + F.floor((F.col("_h1") - F.col("_s")) / 2))
-    near_tail = tail & (F.col(at) <= F.col("_t0") + F.floor((F.col("_e") - F.col("_t0") + 1) / 2))
+    near_tail = tail & (F.col(at) <= F.col("_t0") + F.floor((F.least("_e", "_t1") - F.col("_t0") + 1) / 2))
     line = F.when(near_head, 1).when(near_tail, F.col("_last") - 1).otherwise(F.col("text_line"))
-    return rows.select(*keys, at, line.cast("long").alias("text_line"), between.cast("long").alias("between"))
+    rows = rows.select(*keys, at, line.cast("long").alias("text_line"), between.cast("long").alias("between"))
+    told = lines.select(*keys, F.col("seq").alias("text_line"), "next_start_like", "caps", "next_caps")
+    rows, here = rows.join(told, [*keys, "text_line"], "left"), F.col("between") == 1
+    like = F.when(here, F.coalesce("next_start_like", F.lit(0))).otherwise(F.lit(0))
+    caps = F.when(here & F.col("caps").isNotNull(), X.inverted_capital_run(F.col("caps"), F.col("next_caps"))).otherwise(F.lit(0.0))
+    return rows.select(*keys, at, "text_line", "between", like.alias("like_row_start"), caps.alias("caps_inverted"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -16,20 +17,24 @@ def lot(col: str, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
 
 
-def running_total(df: DataFrame, order: list[str], amount: Column, out: str, parts: int = 32) -> DataFrame:
+def running_total(df: DataFrame, order: list[str], amount: Column, out: str, rows_a_part: int = 250_000) -> DataFrame:
     """Adds the sum of amount over the rows before, in the given order (the first column numeric).
 
-    No task orders everything: the first column is cut at quantiles found once (`parts` numbers),
-    cells are ordered apart and start from the sums of those before.
+    No task orders everything: the first column is cut at quantiles found once, a number for every
+    `rows_a_part` rows; cells are ordered apart and start from the sums of those before. Rows equal in
+    the first column share a cell.
     """
-    bounds = sorted(set(df.approxQuantile(order[0], [i / parts for i in range(1, parts)], 0.002)))
-    cell = sum((F.coalesce(F.col(order[0]) >= F.lit(x), F.lit(False)).cast("int") for x in bounds), F.lit(0))
-    rows = df.withColumn("_cell", cell).withColumn("_amount", amount)
+    parts = max(8, -(-df.count() // rows_a_part))
+    bounds = sorted(set(df.approxQuantile(order[0], [i / parts for i in range(1, parts)], min(0.002, 0.25 / parts))))
+    rows = df.withColumn("_at", F.col(order[0]).cast("double")).withColumn("_amount", amount)
+    # found by bisection, so that many parts cost no more; nulls come first
+    cut = Bucketizer(splits=[float("-inf"), *bounds, float("inf")], inputCol="_at", outputCol="_cell", handleInvalid="keep")
+    rows = cut.transform(rows).withColumn("_cell", F.when(F.col("_at").isNull(), -1).otherwise(F.col("_cell").cast("int"))).drop("_at")
     inside = F.sum("_amount").over(W.partitionBy("_cell").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
     sums = rows.groupBy("_cell").agg(F.sum("_amount").alias("_c"))
     base = sums.withColumn("_base", F.coalesce(F.sum("_c").over(W.orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_c")
     total = (F.col("_base") + F.coalesce("_in", F.lit(0))).cast("long")
-    return rows.withColumn("_in", inside).join(F.broadcast(base), "_cell").withColumn(out, total).drop("_cell", "_amount", "_in", "_base")
+    return rows.withColumn("_in", inside).join(base, "_cell").withColumn(out, total).drop("_cell", "_amount", "_in", "_base")
 
 
 def numbered(df: DataFrame, order: list[str], out: str = "n") -> DataFrame:

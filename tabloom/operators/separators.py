@@ -92,15 +92,29 @@ def cell_spans(separators: DataFrame, keys: list[str]) -> DataFrame:
     return out.where("high IS NOT NULL").select(*keys, "n", (F.col("end") + 1).alias("low"), "high")
 
 
-def widened(separators: DataFrame, lines: DataFrame, keys: list[str], reach: int = 50, most: float = 0.1) -> DataFrame:
-    """Separators widened over neighbouring lines that look like their middle line, up to the
-    first unlike one on either side, at most `reach` lines away. lines(keys, at, v)."""
-    mid = F.floor((F.col("start") + F.col("end")) / 2)
-    s = separators.withColumn("mid", mid).join(lines.select(*keys, F.col("at").alias("mid"), F.col("v").alias("v0")), [*keys, "mid"])
-    near = s.withColumn("at", F.explode(F.sequence(F.col("start") - reach, F.col("end") + reach))).join(lines, [*keys, "at"], "left")
-    unlike = F.col("v").isNull() | (F.abs(F.col("v") - F.col("v0")) > most)
-    stop = near.groupBy(*keys, "start", "end").agg(F.max(F.when(unlike & (F.col("at") < F.col("start")), F.col("at"))).alias("below"), F.min(F.when(unlike & (F.col("at") > F.col("end")), F.col("at"))).alias("above"))
-    return stop.select(*keys, "start", "end", F.coalesce(F.col("below") + 1, F.col("start") - reach).alias("wide_start"), F.coalesce(F.col("above") - 1, F.col("end") + reach).alias("wide_end"))
+def _off(measure: str):
+    return lambda x: F.abs(x - F.col(measure))
+
+
+def widened(separators: DataFrame, lines: DataFrame, keys: list[str], most: dict[str, float], reach: int = 50) -> DataFrame:
+    """Separators widened on either side up to the first line that differs from every line of the
+    separator by more than a measure's limit, in any of the measures (`most`: measure -> limit), at
+    most `reach` lines and not beyond the lines there are. lines(keys, at, measures...)."""
+    own = [*keys, "start", "end"]
+    wide = separators.select(*own).withColumn("at", F.explode(F.sequence(F.col("start") - reach, F.col("end") + reach)))
+    seen = wide.join(lines.select(*keys, "at", *most), [*keys, "at"])
+    inside = F.col("at").between(F.col("start"), F.col("end"))
+    of_own = seen.where(inside).groupBy(*own).agg(F.collect_list(F.struct(*most)).alias("_own"))
+    near = seen.where(~inside).join(of_own, own, "left")
+    unlike = F.lit(False)
+    for m, limit in most.items():
+        unlike = unlike | F.coalesce(F.array_min(F.transform(F.col(f"_own.{m}"), _off(m))) > limit, F.lit(False))
+    stop = near.groupBy(*own).agg(F.max(F.when(unlike & (F.col("at") < F.col("start")), F.col("at"))).alias("_low"), F.min(F.when(unlike & (F.col("at") > F.col("end")), F.col("at"))).alias("_high"))
+    ends = lines.groupBy(*keys).agg(F.min("at").alias("_first"), F.max("at").alias("_last"))
+    out = separators.select(*own).join(stop, own, "left").join(ends, keys)
+    low = F.greatest(F.coalesce(F.col("_low") + 1, F.col("start") - reach), F.least("_first", "start"))
+    high = F.least(F.coalesce(F.col("_high") - 1, F.col("end") + reach), F.greatest("_last", "end"))
+    return out.select(*own, low.alias("wide_start"), high.alias("wide_end"))
 
 
 def faulty(boxes: DataFrame, keys: list[str], box: list[str]) -> DataFrame:

@@ -55,12 +55,12 @@ def m_circular_neighbours(spark, sf):
     return S.rolled(D.scores(spark, sf).select("k", "i", "p"), ["k"], "i", "p", [2, -1]).select("k", "i", "p_roll_2", "p_roll_m1")
 
 
-@query(oracle("SELECT k, i, i / CAST(n AS DOUBLE) AS position, list_slice(list_reverse_sort(tops), 1, 5) AS top5 FROM (SELECT *, count(*) OVER (PARTITION BY k) AS n, list(p) OVER (PARTITION BY k) AS tops FROM scores) WHERE i = 0", "scores"))
+@query(oracle("SELECT k, i, i / CAST(n AS DOUBLE) AS position, list_slice(list_reverse_sort(tops), 1, 5) AS top5 FROM (SELECT *, count(*) OVER (PARTITION BY k) AS n, list(p) OVER (PARTITION BY k) AS tops FROM scores)", "scores"))
 def l_top_values(spark, sf):
-    """Five largest of each sequence, relative positions of its first line."""
-    one = S.W.partitionBy("k")
-    s = D.scores(spark, sf).withColumn("n", F.count("*").over(one)).withColumn("all", F.collect_list("p").over(one)).where("i = 0")
-    return s.select("k", "i", (F.col("i") / F.col("n")).alias("position"), N.top_k(F.col("all"), 5).alias("top5"))
+    """Relative position of every line, and the five largest of its sequence."""
+    s = D.scores(spark, sf)
+    tops = s.groupBy("k").agg(F.count("*").alias("n"), N.top_k(F.collect_list("p"), 5).alias("top5"))
+    return s.join(tops, "k").select("k", "i", (F.col("i") / F.col("n")).alias("position"), "top5")
 
 
 @query(oracle("""d AS (SELECT *, abs(v - lag(v) OVER (PARTITION BY img, y ORDER BY x)) AS dv, CASE WHEN lag(v) OVER (PARTITION BY img, y ORDER BY x) <> v THEN 1 ELSE 0 END AS ch FROM pixels),
@@ -85,7 +85,7 @@ def s_otsu(spark, sf):
     return R.otsu(D.pixels(spark, sf).withColumn("g", F.expr("v + x % 4")), ["img"], "g")
 
 
-LINES = "lines AS (SELECT img, word AS seq, t AS top, b AS bottom, start_like AS next_start_like, word % 4 AS caps, word % 3 AS next_caps FROM boxes WHERE word % 7 = 0)"
+LINES = "lines AS (SELECT img, word AS seq, t AS top, b AS bottom, start_like AS next_start_like, word % 4 AS caps, word % 3 AS next_caps FROM boxes)"
 
 
 @query(oracle(f"""{LINES}, ends AS (SELECT img, max(seq) AS last, max(bottom) AS e FROM lines GROUP BY img), axis AS (SELECT DISTINCT img, unnest(range(50)) AS y FROM boxes),
@@ -95,7 +95,7 @@ LINES = "lines AS (SELECT img, word AS seq, t AS top, b AS bottom, start_like AS
     SELECT img, y, CASE WHEN y > e THEN last + 1 ELSE coalesce(seq, 0) END AS text_line, between_ AS "between", CASE WHEN between_ = 1 THEN coalesce(next_start_like, 0) ELSE 0 END AS like_row_start, CASE WHEN between_ = 1 THEN least(greatest(6 - least(caps, next_caps), 0), 5) / CAST(6 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS caps_inverted FROM b""", "boxes"))
 def f_between_lines(spark, sf):
     b = D.boxes(spark, sf)
-    lines = b.where("word % 7 = 0").selectExpr("img", "word AS seq", "t AS top", "b AS bottom", "start_like AS next_start_like", "word % 4 AS caps", "word % 3 AS next_caps")
+    lines = b.selectExpr("img", "word AS seq", "t AS top", "b AS bottom", "start_like AS next_start_like", "word % 4 AS caps", "word % 3 AS next_caps")
     axis = b.select("img").distinct().select("img", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(49).cast("long"))).alias("y"))
     return L.between_lines(axis, lines, ["img"])
 
@@ -126,11 +126,11 @@ def f_text_distance_ratio(spark, sf):
     return a.join(b, ["img", "x"])
 
 
-@query(oracle("g AS (SELECT DISTINCT img, unnest(range(64)) AS x FROM boxes), s AS (SELECT img, min(l) AS a, max(r) AS z FROM boxes WHERE img % 3 > 0 GROUP BY img) SELECT g.img, g.x, CAST(coalesce(g.x BETWEEN a AND z, true) AS BIGINT) AS in_text FROM g LEFT JOIN s ON g.img = s.img", "boxes"))
+@query(oracle("g AS (SELECT DISTINCT img, unnest(range(64)) AS x FROM boxes), s AS (SELECT img, min(l) AS a, max(r) AS z FROM boxes GROUP BY img) SELECT g.img, g.x, CAST(coalesce(g.x BETWEEN a AND z, true) AS BIGINT) AS in_text FROM g LEFT JOIN s ON g.img = s.img", "boxes"))
 def f_in_text_rectangle(spark, sf):
     b = D.boxes(spark, sf)
     axis = b.select("img").distinct().select("img", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))).alias("x"))
-    return L.in_text_rectangle(axis, b.where("img % 3 > 0"), ["img"], "x", "l", "r")
+    return L.in_text_rectangle(axis, b, ["img"], "x", "l", "r")
 
 
 # ---------------------------------------------------------------- metrics
@@ -216,7 +216,11 @@ def l_split(spark, sf):
     return N.split(D.table(spark, sf, "documents").select("doc_id"), "doc_id", {"train": 0.8, "val": 0.1, "test": 0.1}, 7)
 
 
-@query()
+@query(f"""WITH o AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'test' WHEN quality = 1 THEN 'train' ELSE 'val' END AS split FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)),
+    b AS (SELECT doc_id, arg_min(split, CASE split WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END) AS split FROM o GROUP BY doc_id),
+    need AS (SELECT greatest(0, least(round_even(0.1 * n, 0), 10000) - t) AS nt, greatest(0, least(round_even(0.2 * n, 0), 10000) - v) AS nv FROM (SELECT count(*) AS n FROM documents), (SELECT count(*) FILTER (split = 'test') AS t, count(*) FILTER (split = 'val') AS v FROM b)),
+    f AS (SELECT doc_id, row_number() OVER (ORDER BY {ORDERED}, doc_id) - 1 AS k FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM b))
+    SELECT doc_id, split FROM b UNION ALL SELECT doc_id, CASE WHEN k < nt THEN 'test' WHEN k < nt + nv THEN 'val' ELSE 'train' END AS split FROM f, need""")
 def l_split_keeping(spark, sf):
     old = D.table(spark, sf, "labels").select("doc_id", F.when(F.col("toxic") == 1, "test").when(F.col("quality") == 1, "train").otherwise("val").alias("split"))
     docs = D.table(spark, sf, "documents").select("doc_id")
@@ -255,17 +259,18 @@ def a_groups_as_lists(spark, sf):
 @query(oracle(f"""{LINES}, ends AS (SELECT img, max(seq) AS last, max(bottom) AS e FROM lines GROUP BY img), axis AS (SELECT DISTINCT img, unnest(range(50)) AS y FROM boxes),
     best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY img, top ORDER BY seq DESC) AS k FROM lines) WHERE k = 1),
     j AS (SELECT a.img, a.y, CASE WHEN a.y > e THEN last + 1 ELSE coalesce(l.seq, 0) END AS tl, CAST(coalesce(a.y > l.bottom, false) AND NOT a.y > e AS BIGINT) AS bt FROM axis a ASOF LEFT JOIN best l ON a.img = l.img AND a.y >= l.top JOIN ends ON a.img = ends.img),
-    k AS (SELECT j.*, max(tl) OVER (PARTITION BY img) AS m, EXISTS (SELECT 1 FROM boxes b WHERE b.img = j.img AND b.word % 5 = 0 AND b.t = j.y) AS ink FROM j),
+    k AS (SELECT j.*, max(tl) OVER (PARTITION BY img) AS m, EXISTS (SELECT 1 FROM boxes b WHERE b.img = j.img AND b.t = j.y) AS ink FROM j),
     z AS (SELECT *, max(CASE WHEN tl = 0 THEN y END) OVER w AS h1, min(CASE WHEN tl = 0 AND ink THEN y END) OVER w AS hi, min(CASE WHEN tl = m AND tl > 0 THEN y END) OVER w AS t0, max(CASE WHEN tl = m AND tl > 0 THEN y END) OVER w AS t1, max(CASE WHEN tl = m AND tl > 0 AND ink THEN y END) OVER w AS ti FROM k WINDOW w AS (PARTITION BY img)),
-    q AS (SELECT *, CASE WHEN hi < h1 THEN hi ELSE h1 // 5 * 4 END AS s, coalesce(ti, t0 + (t1 - t0 + 1) // 5) AS e FROM z)
-    SELECT img, y, CAST(CASE WHEN tl = 0 AND y >= s + (h1 - s) // 2 THEN 1 WHEN tl = m AND tl > 0 AND y <= t0 + (e - t0 + 1) // 2 THEN m - 1 ELSE tl END AS BIGINT) AS text_line,
-    CAST(CASE WHEN tl = 0 AND y >= s THEN 1 WHEN tl = m AND tl > 0 AND y <= e THEN 1 WHEN tl = 0 OR tl = m THEN 0 ELSE bt END AS BIGINT) AS "between" FROM q""", "boxes"))
+    q AS (SELECT *, CASE WHEN hi < h1 THEN hi ELSE h1 // 5 * 4 END AS s, coalesce(ti + 1, t1 + 1 - (t1 - t0 + 1) // 5) AS e FROM z),
+    f AS (SELECT img, y, CAST(CASE WHEN tl = 0 AND y >= s + (h1 - s) // 2 THEN 1 WHEN tl = m AND tl > 0 AND y <= t0 + (least(e, t1) - t0 + 1) // 2 THEN m - 1 ELSE tl END AS BIGINT) AS text_line,
+    CAST(CASE WHEN tl = 0 AND y >= s THEN 1 WHEN tl = m AND tl > 0 AND y <= e THEN 1 WHEN tl = 0 OR tl = m THEN 0 ELSE bt END AS BIGINT) AS "between" FROM q)
+    SELECT f.*, CASE WHEN "between" = 1 THEN coalesce(l.next_start_like, 0) ELSE 0 END AS like_row_start, CASE WHEN "between" = 1 AND l.seq IS NOT NULL THEN least(greatest(6 - least(caps, next_caps), 0), 5) / CAST(6 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS caps_inverted FROM f LEFT JOIN lines l ON f.img = l.img AND f.text_line = l.seq""", "boxes"))
 def f_table_ends(spark, sf):
     b = D.boxes(spark, sf)
-    lines = b.where("word % 7 = 0").selectExpr("img", "word AS seq", "t AS top", "b AS bottom", "start_like AS next_start_like", "word % 4 AS caps", "word % 3 AS next_caps")
+    lines = b.selectExpr("img", "word AS seq", "t AS top", "b AS bottom", "start_like AS next_start_like", "word % 4 AS caps", "word % 3 AS next_caps")
     axis = b.select("img").distinct().select("img", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(49).cast("long"))).alias("y"))
-    ink = b.where("word % 5 = 0").selectExpr("img", "t AS y")
-    return L.with_table_ends(L.between_lines(axis, lines, ["img"]), ink, ["img"])
+    ink = b.selectExpr("img", "t AS y")
+    return L.with_table_ends(L.between_lines(axis, lines, ["img"]), ink, lines, ["img"])
 
 
 @query(oracle("h AS (SELECT k, i, target = 1 AS hit FROM scores), " + ISLANDS + " SELECT k, min(i) AS start, max(i) AS \"end\", count(*) AS length FROM r WHERE hit GROUP BY k, run", "scores"))

@@ -82,18 +82,18 @@ def c_wide_table(spark, sf):
     return C.wide(long.select("row", "col", "text"), [0, 1, 2])
 
 
-EDGES = "b AS (SELECT img, t AS s, b AS e, lead(t) OVER (PARTITION BY img ORDER BY t, b) AS n FROM boxes WHERE word % 5 = 0)"
+EDGES = "b AS (SELECT img, t AS s, b AS e, lead(t) OVER (PARTITION BY img ORDER BY t, b) AS n FROM boxes)"
 
 
 @query(oracle(f"{EDGES} SELECT img, CAST(floor(least(e, n)) AS BIGINT) AS start, CAST(floor(greatest(e, n)) AS BIGINT) AS \"end\" FROM b WHERE n IS NOT NULL", "boxes"))
 def t_edges_to_separators(spark, sf):
-    rows = D.boxes(spark, sf).where("word % 5 = 0").selectExpr("img", "t AS start", "b AS end")
+    rows = D.boxes(spark, sf).selectExpr("img", "t AS start", "b AS end")
     return P.from_edges(rows, ["img"])
 
 
-@query(oracle("g AS (SELECT DISTINCT img, unnest(range(50)) AS at FROM boxes) SELECT g.img, g.at, CAST(max(CASE WHEN b.word IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS \"on\" FROM g LEFT JOIN boxes b ON g.img = b.img AND b.word % 9 = 0 AND g.at BETWEEN b.t AND b.b GROUP BY ALL", "boxes"))
+@query(oracle("g AS (SELECT DISTINCT img, unnest(range(50)) AS at FROM boxes) SELECT g.img, g.at, CAST(max(CASE WHEN b.word IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS \"on\" FROM g LEFT JOIN boxes b ON g.img = b.img AND g.at BETWEEN b.t AND b.b GROUP BY ALL", "boxes"))
 def t_intervals_to_vector(spark, sf):
-    seps = D.boxes(spark, sf).where("word % 9 = 0").selectExpr("img", "t AS start", "b AS end")
+    seps = D.boxes(spark, sf).selectExpr("img", "t AS start", "b AS end")
     return P.to_vector(seps, D.sizes(spark, sf), ["img"], "h")
 
 
@@ -134,37 +134,42 @@ def t_edge_separators(spark, sf):
     return P.edge_separators(a.where("p > 0.1"), a.where("p > 0.9"), AXIS)
 
 
-@query(oracle(f"""{SEPS}, m AS (SELECT s.*, a.p AS v0 FROM seps s JOIN axis_scores a ON s.img = a.img AND s.axis = a.axis AND a.at = (s.s + s.e) // 2), n AS (SELECT m.*, g, a.p FROM (SELECT *, unnest(range(s - 5, e + 6)) AS g FROM m) m LEFT JOIN axis_scores a ON m.img = a.img AND m.axis = a.axis AND a.at = m.g),
-    z AS (SELECT img, axis, s, e, max(CASE WHEN g < s AND (p IS NULL OR abs(p - v0) > 0.2) THEN g END) AS lo, min(CASE WHEN g > e AND (p IS NULL OR abs(p - v0) > 0.2) THEN g END) AS hi FROM n GROUP BY ALL) SELECT img, axis, s AS start, e AS "end", coalesce(lo + 1, s - 5) AS wide_start, coalesce(hi - 1, e + 5) AS wide_end FROM z""", "axis_scores"))
+MEASURES = "x AS (SELECT *, CAST((at * 13 + img) % 7 AS DOUBLE) AS w FROM axis_scores)"
+
+
+@query(oracle(f"""{SEPS}, {MEASURES}, ends AS (SELECT img, axis, min(at) AS a0, max(at) AS a1 FROM x GROUP BY ALL), n AS (SELECT s.*, x.at AS g, x.p, x.w FROM seps s JOIN x ON s.img = x.img AND s.axis = x.axis AND x.at BETWEEN s.s - 5 AND s.e + 5 AND NOT x.at BETWEEN s.s AND s.e),
+    d AS (SELECT n.img, n.axis, n.s, n.e, n.g, min(abs(n.p - o.p)) AS dp, min(abs(n.w - o.w)) AS dw FROM n LEFT JOIN x o ON n.img = o.img AND n.axis = o.axis AND o.at BETWEEN n.s AND n.e GROUP BY ALL),
+    z AS (SELECT img, axis, s, e, max(CASE WHEN g < s AND (dp > 0.2 OR dw > 2) THEN g END) AS lo, min(CASE WHEN g > e AND (dp > 0.2 OR dw > 2) THEN g END) AS hi FROM d GROUP BY ALL)
+    SELECT t.img, t.axis, t.s AS start, t.e AS "end", greatest(least(coalesce(lo + 1, t.s - 5), t.s), least(a0, t.s)) AS wide_start, least(greatest(coalesce(hi - 1, t.e + 5), t.e), greatest(a1, t.e)) AS wide_end FROM seps t JOIN ends USING (img, axis) LEFT JOIN z ON z.img = t.img AND z.axis = t.axis AND z.s = t.s AND z.e = t.e""", "axis_scores"))
 def t_widened_separators(spark, sf):
-    lines = D.axis_scores(spark, sf).select(*AXIS, "at", F.col("p").alias("v"))
-    return P.widened(axis_separators(spark, sf), lines, AXIS, 5, 0.2)
+    lines = D.axis_scores(spark, sf).withColumn("w", F.expr("CAST((at * 13 + img) % 7 AS DOUBLE)"))
+    return P.widened(axis_separators(spark, sf), lines, AXIS, {"p": 0.2, "w": 2.0}, 5)
 
 
-SNAP = "b AS (SELECT img, word * 5 AS bs, word * 5 + 2 AS be FROM boxes WHERE word % 3 = 0), a AS (SELECT img, word, l * 3 AS s, l * 3 + word % 4 AS e FROM boxes)"
+SNAP = "b AS (SELECT img, word * 5 AS bs, word * 5 + 2 AS be FROM boxes), a AS (SELECT img, word, l * 3 AS s, l * 3 + word % 4 AS e FROM boxes)"
 
 
 @query(oracle(f"""{SNAP}, f AS (SELECT a.img, a.word, a.s, a.e, min(b.be) AS be FROM a LEFT JOIN b ON a.img = b.img AND b.be >= a.s GROUP BY ALL)
     SELECT f.img, f.word, s AS start, e AS "end", CASE WHEN e >= be - 2 THEN be - 2 ELSE s END AS new_start, CASE WHEN e >= be - 2 THEN be ELSE e END AS new_end FROM f""", "boxes"))
 def j_interval_snap(spark, sf):
     b = D.boxes(spark, sf)
-    better = b.where("word % 3 = 0").selectExpr("img", "word * 5 AS start", "word * 5 + 2 AS end")
+    better = b.selectExpr("img", "word * 5 AS start", "word * 5 + 2 AS end")
     return B.snapped(b.selectExpr("img", "word", "l * 3 AS start", "l * 3 + word % 4 AS end"), better, ["img"])
 
 
-@query(oracle("""n AS (SELECT a.img, a.word, a.l, b.r AS s, row_number() OVER (PARTITION BY a.img, a.word ORDER BY abs(b.r - a.l), b.r) AS k FROM boxes a JOIN (SELECT DISTINCT img, r FROM boxes WHERE word % 6 = 0) b ON a.img = b.img)
+@query(oracle("""n AS (SELECT a.img, a.word, a.l, b.r AS s, row_number() OVER (PARTITION BY a.img, a.word ORDER BY abs(b.r - a.l), b.r) AS k FROM boxes a JOIN (SELECT DISTINCT img, r FROM boxes) b ON a.img = b.img)
     SELECT img, word, l, s AS nearest, l - s AS delta, CASE WHEN abs(l - s) <= 6 THEN s ELSE l END AS snapped FROM n WHERE k = 1""", "boxes"))
 def j_nearest_separator(spark, sf):
     b = D.boxes(spark, sf)
-    seps = b.where("word % 6 = 0").selectExpr("img", "r AS at").distinct()
+    seps = b.selectExpr("img", "r AS at").distinct()
     return B.spanning_edges(b.select("img", "word", "l"), seps, ["img"], "l", "at", 6)
 
 
-@query(oracle("""s AS (SELECT DISTINCT img, t AS s, t + 1 AS e FROM boxes WHERE word % 8 = 0), c AS (SELECT img, word, t AS low, b AS high FROM boxes), i AS (SELECT c.*, coalesce((SELECT e FROM s WHERE s.img = c.img AND s.s <= c.low AND s.e >= c.low ORDER BY s, e LIMIT 1) + 1, low) AS inner_low, coalesce((SELECT s FROM s WHERE s.img = c.img AND s.s <= c.high AND s.e >= c.high ORDER BY s, e LIMIT 1) - 1, high) AS inner_high FROM c)
+@query(oracle("""s AS (SELECT DISTINCT img, t AS s, t + 1 AS e FROM boxes), c AS (SELECT img, word, t AS low, b AS high FROM boxes), i AS (SELECT c.*, coalesce((SELECT e FROM s WHERE s.img = c.img AND s.s <= c.low AND s.e >= c.low ORDER BY s, e LIMIT 1) + 1, low) AS inner_low, coalesce((SELECT s FROM s WHERE s.img = c.img AND s.s <= c.high AND s.e >= c.high ORDER BY s, e LIMIT 1) - 1, high) AS inner_high FROM c)
     SELECT *, inner_high <= inner_low AS bad FROM i""", "boxes"))
 def j_cell_interior(spark, sf):
     b = D.boxes(spark, sf)
-    seps = b.where("word % 8 = 0").selectExpr("img", "t AS start", "t + 1 AS end")
+    seps = b.selectExpr("img", "t AS start", "t + 1 AS end")
     return B.interior(b.selectExpr("img", "word", "t AS low", "b AS high"), seps, ["img"], "low", "high")
 
 

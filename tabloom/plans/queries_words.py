@@ -43,6 +43,16 @@ def p_words_in_table(spark, sf):
     return w.select("page", "pos", at("l", 100).alias("x0"), at("t", 60).alias("y0"), at("r", 100).alias("x1"), at("b", 60).alias("y1"))
 
 
+@query(oracle("""r AS (SELECT page, tbl, 40 + 300 * tbl AS x0, 60 + page % 5 * 30 AS y0, 390 + 300 * tbl AS x1, 660 + page % 5 * 30 AS y1 FROM (SELECT DISTINCT page FROM words) CROSS JOIN (VALUES (CAST(0 AS BIGINT)), (1)) v(tbl))
+    SELECT w.page, w.pos, r.tbl, w.l - r.x0 AS x, w.t - r.y0 AS y FROM words w JOIN r ON w.page = r.page AND w.t >= r.y0 AND w.l >= r.x0 AND w.b <= r.y1 AND w.r <= r.x1""", "words"))
+def p_words_by_table(spark, sf):
+    """Words of every table rectangle of their page, from its corner."""
+    w = D.words(spark, sf)
+    tables = w.select("page").distinct().withColumn("tbl", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))))
+    tables = tables.selectExpr("page", "tbl", "40 + 300 * tbl AS x0", "60 + page % 5 * 30 AS y0", "390 + 300 * tbl AS x1", "660 + page % 5 * 30 AS y1")
+    return B.contained(w, tables, ["page"]).selectExpr("page", "pos", "tbl", "l - x0 AS x", "t - y0 AS y")
+
+
 @query(oracle("SELECT page, CASE WHEN max(CASE WHEN src = 0 THEN 1 ELSE 0 END) = 0 THEN 'ocr-based' ELSE 'pdf-based' END AS source, count(*) AS n_words FROM ocr GROUP BY page", "ocr"))
 def p_text_source(spark, sf):
     pdf = F.max((F.col("src") == 0).cast("int"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Directory policies and the writer modes that do the same.
-MODES = {"fail": "errorifexists", "replace": "overwrite", "overwrite": "append", "warn": "ignore"}
+#: Directory policies and the writer modes that do the same. `warn` asks before it writes into a folder that
+#: exists; nobody can be asked here, so such a write is an error, never left out in silence.
+MODES = {"fail": "errorifexists", "replace": "overwrite", "overwrite": "append", "warn": "errorifexists"}
 
 
 def write_words(df: DataFrame, path: str, by: str = "pdf", policy: str = "fail") -> None:

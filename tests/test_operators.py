@@ -179,3 +179,59 @@ def test_empty_inputs(spark):
     none = spark.createDataFrame([], "k int, i long, v long")
     assert S.runs(none, ["k"], "i", "v").count() == 0
     assert pd.DataFrame(S.reset_cumsum(none, ["k"], "i", "v", "o").collect()).empty
+
+
+def test_separators_widen_to_the_first_line_unlike_in_any_measure(spark):
+    """Lines 0 to 11; the separator is 5 to 6. A line counts as like if it is like one of its lines, in both measures."""
+    p = [0.0, 0.9, 0.1, 0.2, 0.15, 0.1, 0.6, 0.55, 0.5, 0.6, 0.6, 0.6]
+    w = [1.0] * 9 + [9.0, 1.0, 1.0]
+    rows = spark.createDataFrame([(1, i, x, y) for i, (x, y) in enumerate(zip(p, w))], "k long, at long, p double, w double")
+    sep = spark.createDataFrame([(1, 5, 6)], "k long, start long, end long")
+    wide = lambda reach, most: tuple(separators.widened(sep, rows, ["k"], most, reach).first())
+    assert wide(50, {"p": 0.2, "w": 2.0}) == (1, 5, 6, 2, 8)
+    assert wide(50, {"p": 0.2}) == (1, 5, 6, 2, 11)  # not beyond the image
+    assert wide(2, {"p": 0.2}) == (1, 5, 6, 3, 8)
+    assert wide(50, {"p": 5.0}) == (1, 5, 6, 0, 11)
+
+
+def test_table_ends_by_hand(spark):
+    """Text lines at 10 to 14 and 20 to 24 of 40 rows."""
+    axis = spark.range(40).select(F.lit(1).alias("k"), F.col("id").alias("y"))
+    found = spark.createDataFrame([(1, 1, 10, 14, 1, 2, 0), (1, 2, 20, 24, 1, 0, 3)], "k int, seq long, top long, bottom long, next_start_like long, caps long, next_caps long")
+    base = lines.between_lines(axis, found, ["k"])
+    ends = lambda ink: {r["y"]: r for r in lines.with_table_ends(base, spark.createDataFrame([(1, y) for y in ink], "k int, y long"), found, ["k"]).collect()}
+    got = ends([4, 12, 30])
+    assert [y for y in got if got[y]["between"] == 1] == [*range(4, 10), *range(15, 20), *range(25, 32)]
+    assert [got[y]["text_line"] for y in (3, 5, 6, 9, 10, 25, 28, 29, 39)] == [0, 0, 1, 1, 1, 2, 2, 3, 3]
+    assert (got[6]["like_row_start"], got[6]["caps_inverted"]) == (1, 5 / 6) and (got[5]["like_row_start"], got[5]["caps_inverted"]) == (0, 0.0)
+    got = ends([12])  # no ink: the last fifth before, four fifths after
+    assert [y for y in got if got[y]["between"] == 1 and not 10 <= y < 25] == [4, 5, 6, 7, 8, 9, *range(25, 38)]
+
+
+def test_running_total_of_many_parts(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(a), i, int(b)) for i, (a, b) in enumerate(rng.integers(0, [50, 9], (3000, 2)))] + [(None, 5000, 3), (None, 5001, 4)]
+    df = spark.createDataFrame(rows, "a long, i long, n long")
+    got = {r["i"]: r["before"] for r in sampling.running_total(df, ["a", "i"], F.col("n"), "before", 100).collect()}
+    total, want = 0, {}
+    for _, i, n in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        want[i], total = total, total + n
+    assert got == want
+
+
+def test_rolled_is_circular(spark):
+    out = S.rolled(seq(spark, [10, 11, 12, 13]), ["k"], "i", "v", [1, -1, 5])
+    assert col(out, "i", "v_roll_1", "v_roll_m1", "v_roll_5") == [(13, 11, 13), (10, 12, 10), (11, 13, 11), (12, 10, 12)]
+
+
+def test_words_of_tables(spark):
+    words = spark.createDataFrame([(1, 0, 5, 5, 9, 9), (1, 1, 5, 5, 21, 9), (2, 2, 5, 5, 9, 9)], "page long, pos long, l long, t long, r long, b long")
+    rects = spark.createDataFrame([(1, 7, 0, 0, 20, 20), (1, 8, 5, 5, 9, 9), (3, 9, 0, 0, 99, 99)], "page long, tbl long, x0 long, y0 long, x1 long, y1 long")
+    assert {(r["pos"], r["tbl"]) for r in B.contained(words, rects, ["page"]).collect()} == {(0, 7), (0, 8)}
+
+
+def test_a_warned_write_is_never_left_out(spark, tmp_path):
+    df = spark.range(2).withColumn("at", F.col("id"))
+    sinks.write_long(df, str(tmp_path / "x"), "warn")
+    with pytest.raises(Exception, match="(?i)exist"):
+        sinks.write_long(df, str(tmp_path / "x"), "warn")
