@@ -199,7 +199,7 @@ def test_table_ends_by_hand(spark):
     axis = spark.range(40).select(F.lit(1).alias("k"), F.col("id").alias("y"))
     found = spark.createDataFrame([(1, 1, 10, 14, 1, 2, 0), (1, 2, 20, 24, 1, 0, 3)], "k int, seq long, top long, bottom long, next_start_like long, caps long, next_caps long")
     base = lines.between_lines(axis, found, ["k"])
-    ends = lambda ink: {r["y"]: r for r in lines.with_table_ends(base, spark.createDataFrame([(1, y) for y in ink], "k int, y long"), found, ["k"]).collect()}
+    ends = lambda ink: {r["y"]: r for r in lines.with_table_ends(base, spark.createDataFrame([(1, y) for y in ink], "k int, y long"), found, ["k"]).orderBy("y").collect()}
     got = ends([4, 12, 30])
     assert [y for y in got if got[y]["between"] == 1] == [*range(4, 10), *range(15, 20), *range(25, 32)]
     assert [got[y]["text_line"] for y in (3, 5, 6, 9, 10, 25, 28, 29, 39)] == [0, 0, 1, 1, 1, 2, 2, 3, 3]
