@@ -3,8 +3,7 @@ a pixel table is (key, line, at, v), rows having line = y and at = x, columns th
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -33,19 +32,25 @@ def harmonised(words: DataFrame, page: str = "page") -> DataFrame:
 def numbered(words: DataFrame, page: str = "page", gap: int = 5) -> DataFrame:
     """Line numbers in reading order: a word opens a line if its bottom exceeds that of the word
     that opened the last one by more than the gap and its top lies below it. The state is the
-    opening word, so a page is folded in order (one page's words at a time)."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "l", "pos"], kind="stable")
-        number, bottom, out = 0, 0, []
-        for t, b in zip(pdf["t"], pdf["b"], strict=True):
-            if b - bottom > gap and t > bottom:
-                number, bottom = number + 1, b
-            out.append(number)
-        return pdf.assign(seq_line=out)
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.schema)
-    return words.groupBy(page).applyInPandas(fold, f"{kinds}, seq_line long")
+    opening word, so a page's words are folded in order: one array a page, one shuffle. The fold keeps
+    only where lines open; the lines are then slices of the array. Words without a top come first."""
+    order = ["t", "l", "pos"]
+    rest = [c for c in words.columns if c not in (page, *order)]
+    pages = words.groupBy(page).agg(F.sort_array(F.collect_list(F.struct(*order, *rest))).alias("_w"))
+    state = lambda opens, bottom, i: F.struct(opens.alias("opens"), bottom.cast("double").alias("bottom"), i.alias("i"))
+
+    def step(s: Column, w: Column) -> Column:
+        i = s["i"] + 1
+        opens = (w["b"] - s["bottom"] > gap) & (w["t"] > s["bottom"])
+        return F.when(opens, state(F.concat(s["opens"], F.array(i)), w["b"], i)).otherwise(state(s["opens"], s["bottom"], i))
+
+    # the first slice, number 0, is of the words before any line
+    opens = F.aggregate("_w", state(F.array(F.lit(1)), F.lit(0), F.lit(0)), step, lambda s: s["opens"])
+    pages = pages.withColumn("_o", opens).withColumn("_o", F.concat("_o", F.array(F.size("_w") + 1)))
+    cut = lambda a, k: F.slice("_w", a, F.get("_o", k + 1) - a)
+    lines = F.transform(F.slice("_o", 1, F.size("_o") - 1), cut)
+    one = pages.select(page, F.posexplode(lines).alias("seq_line", "_line")).select(page, "seq_line", F.explode("_line").alias("_w"))
+    return one.select(*[F.col(c) if c == page else F.col(f"_w.{c}").alias(c) for c in words.columns], F.col("seq_line").cast("long").alias("seq_line"))
 
 
 def line_starts(words: DataFrame, page: str = "page") -> DataFrame:

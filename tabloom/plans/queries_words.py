@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tabloom.functions import sequences as S
@@ -77,7 +79,10 @@ def g_uniform_heights(spark, sf):
     return L.harmonised(D.words(spark, sf)).select("page", "pos", "t", "b", "uniform")
 
 
-@query()
+@query(re.sub("^WITH ", "WITH RECURSIVE ", oracle("""s AS (SELECT page, pos, t, b, row_number() OVER (PARTITION BY page ORDER BY t, l, pos) AS k FROM words),
+    opened AS (SELECT DISTINCT page, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS b FROM words
+        UNION ALL SELECT o.page, o.n + 1, min(s.k), arg_min(s.b, s.k) FROM opened o JOIN s ON s.page = o.page AND s.k > o.k AND s.b - o.b > 5 AND s.t > o.b GROUP BY o.page, o.n)
+    SELECT s.page, s.pos, o.n AS seq_line FROM s ASOF JOIN opened o ON s.page = o.page AND s.k >= o.k""", "words")))
 def g_line_numbers(spark, sf):
     return L.numbered(D.words(spark, sf)).select("page", "pos", "seq_line")
 

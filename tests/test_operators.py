@@ -120,6 +120,45 @@ def test_tight_boxes(spark):
     assert ink.tight(page, 0, 0, 3, 3) is None
 
 
+def test_tight_boxes_leave_ruled_lines_and_stray_rows():
+    page = np.zeros((60, 60), bool)
+    page[24:30, 22:46] = True  # the word
+    page[20, :] = page[38, :] = True  # ruled through the context
+    page[:, 20] = True
+    assert ink.tight(page, 20, 20, 47, 39) == (22, 24, 45, 29)
+    page[:, 20] = False
+    page[30, 24] = page[32, 24:26] = True  # two pixels or fewer
+    assert ink.tight(page, 20, 20, 47, 39) == (22, 24, 45, 29)
+    page[33, 24:27] = True  # three, but under a fifth of the mean inked row
+    assert ink.tight(page, 20, 20, 47, 36) == (22, 24, 45, 29)
+    dots = np.zeros((9, 9), bool)
+    dots[4, 2:7] = True
+    dots[6, 2] = True
+    assert ink.tight(dots, 0, 0, 8, 8) == (2, 4, 6, 4)
+    assert ink.tight(dots, 0, 5, 8, 8) is None
+    assert ink.ruled_ends(np.ones(8, bool)) == (0, 0)
+    # windows of six rows: the medians of the last ones are nothing, of the first ones not
+    assert ink.sparse_rows(np.array([5] * 6 + [0] * 6)).tolist() == [False] * 9 + [True] * 3
+    assert not ink.sparse_rows(np.array([0] * 5 + [9] + [0] * 5)).any()
+
+
+def test_line_numbers_against_a_plain_loop(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(p), i, int(l), int(t), int(t + h)) for i, (p, l, t, h) in enumerate(rng.integers(0, [3, 90, 300, 30], (400, 4)))]
+    want = {}
+    for p in range(3):
+        number, bottom = 0, 0
+        for _, i, _, t, b in sorted((r for r in rows if r[0] == p), key=lambda r: (r[3], r[2], r[1])):
+            if b - bottom > 5 and t > bottom:
+                number, bottom = number + 1, b
+            want[i] = number
+    words = spark.createDataFrame(rows, "page long, pos long, l long, t long, b long")
+    out = lines.numbered(words)
+    assert out.columns == [*words.columns, "seq_line"]
+    assert {r["pos"]: r["seq_line"] for r in out.collect()} == want
+    assert lines.numbered(words.where("false")).count() == 0
+
+
 def test_scoring_parts():
     x = np.arange(12.0).reshape(6, 2)
     assert scoring.pooled(x, 3).shape == (3, 2) and scoring.top(x, 8).shape == (8, 2)
