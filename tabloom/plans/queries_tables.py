@@ -9,6 +9,7 @@ from tabloom.functions import text as X
 from tabloom.operators import boxes as B
 from tabloom.operators import cells as C
 from tabloom.operators import ink as I
+from tabloom.operators import lines as L
 from tabloom.operators import scoring as G
 from tabloom.operators import separators as P
 from tabloom.plans import fixtures as D
@@ -234,12 +235,30 @@ def g_tight_boxes(spark, sf):
     return I.tightened(D.boxes(spark, sf).selectExpr("img", "word AS pos", "l", "t", "r", "b"), ink, "img")
 
 
+FEATURES = ["avg", "abs_diff", "spell_mean", "spell_sd", "n", "relative", "in_text"]
+
+
+def model_lines(spark, sf):
+    """Images by axis, and the seven features that the lines of both axes share."""
+    px, boxes, sizes = D.pixels(spark, sf), D.boxes(spark, sf), D.sizes(spark, sf)
+    px = px.selectExpr("img", "'row' AS axis", "y AS line", "x AS at", "v").unionByName(px.selectExpr("img", "'col' AS axis", "x AS line", "y AS at", "v"))
+    of_words = None
+    for axis, low, high, size in (("row", "t", "b", "h"), ("col", "l", "r", "w")):
+        one = L.in_text_rectangle(L.crossed(boxes, sizes, ["img"], low, high, size), boxes, ["img"], "at", low, high).withColumn("axis", F.lit(axis))
+        of_words = one if of_words is None else of_words.unionByName(one)
+    lines = L.line_statistics(px, AXIS).withColumnRenamed("line", "at").join(of_words, [*AXIS, "at"])
+    return G.images(px, AXIS), lines.select(*AXIS, "at", *FEATURES)
+
+
 @query()
 def m_line_scores(spark, sf):
-    """Scores of all lines under fixed made-up weights (none are published)."""
-    lines = D.axis_scores(spark, sf).withColumn("on", F.col("target").cast("double"))
-    globals_ = lines.groupBy(*AXIS).agg(F.avg("p").alias("g"))
-    return G.scored(G.assembled(lines, globals_, AXIS, ["p", "on"], ["g"]), AXIS, G.made_up_weights(4))
+    """Scores of all lines under fixed made-up weights (none are published); the three features that
+    each axis has of its own are made up too."""
+    images, lines = model_lines(spark, sf)
+    own = [F.expr(f"CAST((at * {k} + img) % 3 = 0 AS DOUBLE)").alias(f"own_{k}") for k in (5, 7, 11)]
+    globals_ = L.percentiles(lines, AXIS, "avg")
+    tables = G.assembled(lines.select("*", *own), globals_, AXIS, [*FEATURES, "own_5", "own_7", "own_11"], ["p0", "p5", "p10"])
+    return G.scored(tables.join(images, AXIS), AXIS, G.made_up_weights())
 
 
 @query(oracle(f"{CLEAN} SELECT img, \"row\", col, text FROM merged", "axis_scores", "table_words"))
@@ -263,10 +282,17 @@ def p_cell_scaling(spark, sf):
 
 @query()
 def m_separator_scores(spark, sf):
-    """Scores of all proposals under fixed made-up weights."""
-    lines = D.axis_scores(spark, sf).withColumn("on", F.col("target").cast("double"))
-    tables = G.assembled(lines, lines.groupBy(*AXIS).agg(F.avg("p").alias("g"), F.min("at").alias("low")), AXIS, ["p", "on"], ["g"])
-    low = lines.groupBy(*AXIS).agg(F.min("at").alias("low"))
-    spans = axis_separators(spark, sf).join(low, AXIS).withColumn("s", F.col("start") - F.col("low")).withColumn("e", F.col("end") - F.col("low"))
-    spans = spans.groupBy(*AXIS).agg(F.array_sort(F.collect_list(F.struct("s", "e", "start", "end"))).alias("spans"))
-    return G.scored_separators(tables.join(spans, AXIS), AXIS, G.made_up_weights(4, separators=True))
+    """Scores of proposals (runs of lines with little ink) under fixed made-up weights."""
+    images, lines = model_lines(spark, sf)
+    found = S.intervals_where(lines, AXIS, "at", F.col("avg") < 0.5).withColumn("start", F.greatest("start", F.lit(0).cast("long"))).withColumn("mid", F.expr("(start + end) div 2 + 1"))
+    told = P.segment_features(found, lines, AXIS, FEATURES).join(L.percentiles(lines, AXIS, "avg"), AXIS)
+    ends = [f"{f}_{m}" for f in FEATURES for m in ("min", "max")]
+    row = F.array(*[F.col(c).cast("double") for c in [*ends, "text_between", "p0", "p5", "p10"]])
+    texts = D.boxes(spark, sf)
+    counts = None
+    for axis, low, high in (("row", "t", "b"), ("col", "l", "r")):
+        one = P.words_between(found.where(F.col("axis") == axis).drop("axis"), texts, ["img"], low, high).withColumn("axis", F.lit(axis))
+        counts = one if counts is None else counts.unionByName(one)
+    told = told.join(counts.select(*AXIS, "start", "end", F.col("n_words").alias("text_between")), [*AXIS, "start", "end"])
+    spans = told.groupBy(*AXIS).agg(F.array_sort(F.collect_list(F.struct("start", "end", row.alias("features")))).alias("spans"))
+    return G.scored_separators(spans.join(images, AXIS), AXIS, G.made_up_weights(separators=True))

@@ -163,13 +163,56 @@ def test_scoring_parts():
     x = np.arange(12.0).reshape(6, 2)
     assert scoring.pooled(x, 3).shape == (3, 2) and scoring.top(x, 8).shape == (8, 2)
     assert np.allclose(scoring.convolved(x, np.eye(2)[None]), x)
+    assert np.allclose(scoring.convolved(x[:, :1], np.ones((4, 1, 1)))[[0, 5], 0], [0 + 0 + 2 + 4, 8 + 10 + 10 + 10])
     assert (scoring.gathered(x, np.array([-3, 99])) == x[[0, 5]]).all()
-    w = scoring.made_up_weights(2)
-    p = scoring.line_scores(x, w)
-    assert p.shape == (6,) and ((p > 0) & (p < 1)).all()
-    q = scoring.separator_scores(x, np.array([[0, 1], [3, 5]]), scoring.made_up_weights(2, separators=True))
-    assert q.shape == (2,)
-    assert scoring.described(w)["total"] == sum(v for k, v in scoring.described(w).items() if k != "total")
+    assert scoring.masked_top(x, 1, 2, 3).tolist() == [5, 4, 3] and np.isneginf(scoring.masked_top(x, 0, 0, 3)[2])
+
+
+def plain_areas(image, kernel):
+    """Every window by itself, edges repeated."""
+    c, high, wide = kernel.shape
+    out = np.zeros((c, *image.shape))
+    for y in range(image.shape[0]):
+        for x in range(image.shape[1]):
+            ys = np.clip(np.arange(high) + y - (high - 1) // 2, 0, image.shape[0] - 1)
+            xs = np.clip(np.arange(wide) + x - (wide - 1) // 2, 0, image.shape[1] - 1)
+            out[:, y, x] = (kernel * image[np.ix_(ys, xs)]).sum(axis=(1, 2))
+    return np.maximum(out, 0)
+
+
+def test_image_convolution_and_scanner_against_windows():
+    rng = np.random.default_rng(2)
+    image, kernel = rng.random((13, 27)), rng.standard_normal((3, 4, 8))
+    part = {"kernel": kernel, "scale": np.ones(3), "shift": np.zeros(3)}
+    got = scoring.areas(image, part, lambda v: v.transpose(1, 0, 2), block=5)
+    assert np.allclose(got.transpose(1, 0, 2), plain_areas(image, kernel))
+    scan = {"kernel": rng.standard_normal((2, 10)), "scale": np.array([1.0, 2.0]), "shift": np.array([0.0, 0.5])}
+    want = [[max(max(0, image[y, k : k + 10] @ scan["kernel"][c] * scan["scale"][c] + scan["shift"][c]) for k in (0, 10)) for c in range(2)] for y in range(13)]
+    assert np.allclose(scoring.scanned(image, scan), want)
+    assert not scoring.scanned(image[:, :9], scan).any()
+
+
+def test_networks_have_the_published_shapes():
+    rng, w = np.random.default_rng(5), scoring.made_up_weights()
+    assert [m.shape for m, _ in w["row"]["layers"]] == [(976, 48), (48, 16), (16, 1)] and [m.shape for m, _ in w["row"]["last"]] == [(7, 6), (6, 1)]
+    image, x = rng.random((50, 64)), rng.random((50, 14))
+    p = scoring.line_scores(image, x, w["row"])
+    assert p.shape == (50,) and ((p > 0) & (p < 1)).all()
+    # the whole image turned over, with columns' kernels, sees the same areas
+    turned = scoring.areas(image.T, w["col"]["image"], lambda v: v.transpose(1, 0, 2))
+    assert np.allclose(turned.transpose(1, 2, 0), plain_areas(image, w["row"]["image"]["kernel"]))
+    s = scoring.made_up_weights(separators=True)
+    assert [m.shape for m, _ in s["col"]["layers"]] == [(50, 36), (36, 16), (16, 1)]
+    spans, y = np.array([[0, 1], [20, 30], [49, 49]]), rng.random((3, 18))
+    q = scoring.separator_scores(image, spans, y, s["row"])
+    assert q.shape == (3,) and ((q > 0) & (q < 1)).all()
+    # by hand for the second one: ten lines around it, eight largest each
+    best = -np.sort(-plain_areas(image, s["row"]["area"]["kernel"]).transpose(1, 0, 2).reshape(50, -1), axis=1)[:, :8]
+    scans = scoring.scanned(image, s["row"]["scanner"])
+    largest = lambda v: -np.sort(-v.ravel())[:8]
+    inputs = np.concatenate([y[1], largest(best[[15, 7, 0, 0, 0]]), largest(best[[35, 43, 49, 49, 49]]), largest(scans[20:31]), largest(scans)])
+    assert np.isclose(q[1], scoring.sigmoid(scoring.mlp(inputs[None], s["row"]["layers"]))[0, 0])
+    assert scoring.described(w["row"])["total"] == sum(v for k, v in scoring.described(w["row"]).items() if k != "total")
 
 
 def test_annotation_files(spark, tmp_path):
