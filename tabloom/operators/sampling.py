@@ -4,6 +4,8 @@ repeat on any cluster and any partitioning."""
 from __future__ import annotations
 
 import math
+import re
+import tempfile
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
@@ -87,6 +89,19 @@ def split_keeping(df: DataFrame, col: str, prior: DataFrame, shares: dict[str, f
     return rows.where("_old IS NOT NULL").withColumnRenamed("_old", "split").unionByName(free.withColumn("split", new).drop("_n", "_old"))
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df computed once and stored in the folder that the cluster names in spark.checkpoint.dir. Only
+    where that is unset and master is local, a folder of this machine does."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="batches-"))
+    return df.checkpoint()
+
+
 def naive_batches(df: DataFrame, order: str, size: int) -> DataFrame:
     return numbered(df, [order], "_n").withColumn("batch", F.floor(F.col("_n") / size).cast("long")).drop("_n")
 
@@ -94,7 +109,8 @@ def naive_batches(df: DataFrame, order: str, size: int) -> DataFrame:
 def bucket_batches(df: DataFrame, id_col: str, x: str, y: str, size: int, bins: int = 16, rounds: int = 32) -> DataFrame:
     """Batches of rows alike in two measures. Equal-width cells in both (the root of `bins` each
     way, fewer every round), full batches of a cell are accepted, the rest goes on; what no round
-    places is batched in order of the measures. No row is lost."""
+    places is batched in order of the measures. No row is lost. Each round's rows are stored, so that
+    none is computed again."""
     left, out, first = df, None, 0
     for _ in range(rounds):
         side = max(1, math.ceil(math.sqrt(bins)))
@@ -105,6 +121,7 @@ def bucket_batches(df: DataFrame, id_col: str, x: str, y: str, size: int, bins:
         rows = left.withColumn("_cell", cell[0] * side + cell[1])
         order = W.partitionBy("_cell").orderBy(x, y, id_col)
         rows = rows.withColumn("_b", F.floor((F.row_number().over(order) - 1) / size)).withColumn("_full", F.floor(F.count("*").over(W.partitionBy("_cell")) / size))
+        rows = kept(rows)
         done = rows.where("_b < _full").withColumn("batch", F.concat_ws("-", F.lit(f"{first:02d}"), F.col("_cell").cast("string"), F.col("_b").cast("string")))
         done = done.drop("_cell", "_b", "_full")
         out = done if out is None else out.unionByName(done)

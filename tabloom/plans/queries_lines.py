@@ -237,7 +237,24 @@ def l_naive_batches(spark, sf):
     return N.naive_batches(D.table(spark, sf, "documents").select("doc_id"), "doc_id", 5)
 
 
-@query()
+def _bucket_sql() -> str:
+    """Three rounds of cells (16, 8 and 4 of them), then the rest in order."""
+    parts = ["r0 AS (SELECT doc_id, CAST(n_chars AS DOUBLE) AS x, CAST(doc_id * 37 % 501 AS DOUBLE) AS y FROM documents)"]
+    cell = "CASE WHEN {b} > {a} THEN least(CAST(floor(({c} - {a}) * {n} / greatest({b} - {a}, 1e-12)) AS BIGINT), {n} - 1) ELSE 0 END"
+    for k, n in enumerate((4, 3, 2)):
+        both = f"({cell.format(a='ax', b='bx', c='x', n=n)}) * {n} + {cell.format(a='ay', b='by', c='y', n=n)}"
+        parts += [
+            f"c{k} AS (SELECT doc_id, x, y, {both} AS cell FROM r{k}, (SELECT min(x) AS ax, max(x) AS bx, min(y) AS ay, max(y) AS by FROM r{k}))",
+            f"n{k} AS (SELECT *, (row_number() OVER (PARTITION BY cell ORDER BY x, y, doc_id) - 1) // 5 AS b, count(*) OVER (PARTITION BY cell) // 5 AS whole FROM c{k})",
+            f"r{k + 1} AS (SELECT doc_id, x, y FROM n{k} WHERE b >= whole)",
+        ]
+    found = " UNION ALL ".join(f"SELECT doc_id, x, y, '0{k}-' || cell || '-' || b AS batch FROM n{k} WHERE b < whole" for k in range(3))
+    parts += [f"d AS ({found} UNION ALL SELECT doc_id, x, y, 'rest-' || ((row_number() OVER (ORDER BY x, y, doc_id) - 1) // 5) FROM r3)"]
+    parts += [f"o AS (SELECT batch, row_number() OVER (ORDER BY {ORDERED.replace('doc_id', 'batch')}, batch) - 1 AS batch_order FROM (SELECT DISTINCT batch FROM d))"]
+    return f"WITH {', '.join(parts)} SELECT doc_id, x, y, d.batch, batch_order FROM d JOIN o USING (batch)"
+
+
+@query(_bucket_sql())
 def l_bucket_batches(spark, sf):
     rows = D.table(spark, sf, "documents").select("doc_id", F.col("n_chars").cast("double").alias("x"), F.expr("CAST(doc_id * 37 % 501 AS DOUBLE)").alias("y"))
     return N.shuffled_batches(N.bucket_batches(rows, "doc_id", "x", "y", 5, 16), "batch", 7)

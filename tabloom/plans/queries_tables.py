@@ -8,6 +8,7 @@ from tabloom.functions import sequences as S
 from tabloom.functions import text as X
 from tabloom.operators import boxes as B
 from tabloom.operators import cells as C
+from tabloom.operators import images as V
 from tabloom.operators import ink as I
 from tabloom.operators import lines as L
 from tabloom.operators import scoring as G
@@ -229,6 +230,37 @@ def p_similarity_gate(spark, sf):
     return bits.join(nxt, ["img", "y"]).select("img", "y", F.round(X.hash_similarity(F.col("bits"), F.col("other"), F.lit(0)), 9).alias("similarity"))
 
 
+@query(oracle("""m AS (SELECT img, y, avg(v) AS mean FROM pixels GROUP BY ALL), b AS (SELECT p.img, p.y, list(CASE WHEN v > mean THEN 1 ELSE 0 END ORDER BY x) AS bits FROM pixels p JOIN m USING (img, y) GROUP BY ALL),
+    s AS (SELECT w.img, w.y, (c.y + 1) % 50 AS c, CASE WHEN abs(w.y % 4 - c.y % 4) * 15 > 20 THEN 0 ELSE 1 - list_sum(list_transform(list_zip(w.bits, c.bits), lambda z: CAST(z[1] <> z[2] AS BIGINT))) / CAST(64 AS DOUBLE) END AS s FROM b w JOIN b c ON w.img = c.img),
+    g AS (SELECT img, y, max(CASE WHEN c = y THEN s END) AS own, max(s) AS similarity, min_by(c, (-s, c)) AS best FROM s GROUP BY ALL)
+    SELECT img, y, CASE WHEN own >= 0.85 THEN y WHEN similarity >= 0.85 THEN best END AS found, round(similarity, 9) AS similarity, round(own, 9) AS own FROM g""", "pixels"))
+def p_image_matches(spark, sf):
+    """Image lines against those of their image, numbered one further: which one each shows."""
+    px = D.pixels(spark, sf).groupBy("img", "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "v"))), lambda s: s["v"].cast("double")).alias("a"))
+    hashed = px.select("img", "y", X.average_hash_bits(F.col("a")).alias("bits"), F.lit(64).alias("w"), F.expr("y % 4 * 15").alias("h"))
+    out = V.matched(hashed, hashed.withColumn("y", F.expr("(y + 1) % 50")), ["img"], "y")
+    return out.select("img", "y", "found", F.round("similarity", 9).alias("similarity"), F.round("own", 9).alias("own"))
+
+
+@query(oracle("""r AS (SELECT img, word, b AS e, lead(t) OVER (PARTITION BY img ORDER BY t, b) AS n FROM boxes), k AS (SELECT img, word, r AS e, lead(l) OVER (PARTITION BY img ORDER BY l, r) AS n FROM boxes)
+    SELECT img, 'row separator' AS name, 0 AS xmin, least(e, n) AS ymin, 64 AS xmax, greatest(e, n) AS ymax, 64 AS width, 50 AS height FROM r WHERE n IS NOT NULL
+    UNION ALL SELECT img, 'column separator', least(e, n) - 1, 0, greatest(e, n) + 1, 50, 64, 50 FROM k WHERE n IS NOT NULL UNION ALL SELECT img, 'spanning cell interior', l + 1, t + 1, r - 1, b - 1, 64, 50 FROM boxes""", "boxes"))
+def k_separator_annotations(spark, sf):
+    """Separators and interiors as annotation XML with the image's size, read back."""
+    b, zero = D.boxes(spark, sf), F.lit(0).cast("long")
+    rows = P.from_edges(b.selectExpr("img", "t AS start", "b AS end"), ["img"]).select("img", F.lit("row separator").alias("name"), zero.alias("xmin"), F.col("start").alias("ymin"), (zero + 64).alias("xmax"), F.col("end").alias("ymax"))
+    cols = P.from_edges(b.selectExpr("img", "l AS start", "r AS end"), ["img"], widen=True).select("img", F.lit("column separator").alias("name"), F.col("start").alias("xmin"), zero.alias("ymin"), F.col("end").alias("xmax"), (zero + 50).alias("ymax"))
+    inner = b.selectExpr("img", "'spanning cell interior' AS name", "l + 1 AS xmin", "t + 1 AS ymin", "r - 1 AS xmax", "b - 1 AS ymax")
+    boxes = rows.unionByName(cols).unionByName(inner).withColumn("width", F.lit(64)).withColumn("height", F.lit(50))
+    xml = K.as_annotation(boxes, ["img"], ["name", "ymin", "xmin", "ymax", "xmax"])
+    size = lambda n: F.expr(f"xpath_long(xml, '/annotation/size/{n}')").alias(n)
+    sizes, out = xml.select("img", size("width"), size("height")), None
+    for name in ("row separator", "column separator", "spanning cell interior"):
+        part = R.annotation_boxes(xml, "xml", ["img"], name).withColumn("name", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out.select("img", "name", *[F.col(c).cast("long").alias(c) for c in ("xmin", "ymin", "xmax", "ymax")]).join(sizes, "img")
+
+
 @query()
 def g_tight_boxes(spark, sf):
     ink = D.pixels(spark, sf).where("v = 1").select("img", "y", "x")

@@ -40,13 +40,17 @@ def _escaped(text: Column) -> Column:
 
 
 def as_annotation(boxes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """VOC annotation of each key: boxes name, xmin, ymin, xmax, ymax[, confidence] in order."""
+    """VOC annotation of each key: boxes name, xmin, ymin, xmax, ymax[, confidence] in order; with the
+    image's size before them if the boxes have width and height."""
     tag = lambda n: F.concat(F.lit(f"<{n}>"), F.col(n).cast("string"), F.lit(f"</{n}>"))
     sure = F.concat(F.lit("<confidence>"), F.col("confidence").cast("string"), F.lit("</confidence>")) if "confidence" in boxes.columns else F.lit("")
     one = F.concat(F.lit("<object><name>"), _escaped(F.col("name")), F.lit("</name>"), F.coalesce(sure, F.lit("")), F.lit("<bndbox>"), tag("xmin"), tag("ymin"), tag("xmax"), tag("ymax"), F.lit("</bndbox></object>"))
     parts = F.array_sort(F.collect_list(F.struct(*order, one.alias("_x"))))
     body = F.concat_ws("", F.transform(parts, lambda p: p["_x"]))
-    return boxes.groupBy(*keys).agg(F.concat(F.lit("<annotation>"), body, F.lit("</annotation>")).alias("xml"))
+    sized = {"width", "height"} <= set(boxes.columns)
+    of = lambda n: F.concat(F.lit(f"<{n}>"), F.max(n).cast("string"), F.lit(f"</{n}>"))
+    size = F.concat(F.lit("<size>"), of("width"), of("height"), F.lit("</size>")) if sized else F.lit("")
+    return boxes.groupBy(*keys).agg(F.concat(F.lit("<annotation>"), size, body, F.lit("</annotation>")).alias("xml"))
 
 
 def as_detector_lines(boxes: DataFrame, classes: dict[str, int], width: Column, height: Column) -> DataFrame:
