@@ -242,9 +242,9 @@ def _bucket_sql() -> str:
     parts = ["r0 AS (SELECT doc_id, CAST(n_chars AS DOUBLE) AS x, CAST(doc_id * 37 % 501 AS DOUBLE) AS y FROM documents)"]
     cell = "CASE WHEN {b} > {a} THEN least(CAST(floor(({c} - {a}) * {n} / greatest({b} - {a}, 1e-12)) AS BIGINT), {n} - 1) ELSE 0 END"
     for k, n in enumerate((4, 3, 2)):
-        both = f"({cell.format(a='ax', b='bx', c='x', n=n)}) * {n} + {cell.format(a='ay', b='by', c='y', n=n)}"
+        both = f"({cell.format(a='lx', b='hx', c='x', n=n)}) * {n} + {cell.format(a='ly', b='hy', c='y', n=n)}"
         parts += [
-            f"c{k} AS (SELECT doc_id, x, y, {both} AS cell FROM r{k}, (SELECT min(x) AS ax, max(x) AS bx, min(y) AS ay, max(y) AS by FROM r{k}))",
+            f"c{k} AS (SELECT doc_id, x, y, {both} AS cell FROM r{k}, (SELECT min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM r{k}))",
             f"n{k} AS (SELECT *, (row_number() OVER (PARTITION BY cell ORDER BY x, y, doc_id) - 1) // 5 AS b, count(*) OVER (PARTITION BY cell) // 5 AS whole FROM c{k})",
             f"r{k + 1} AS (SELECT doc_id, x, y FROM n{k} WHERE b >= whole)",
         ]
