@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tabloom.functions import sequences as S
+
 EPS = 1e-7
 
 
@@ -29,6 +31,16 @@ def accuracy(df: DataFrame, keys: list[str], cut: float = 0.5) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg((hit == F.col("target")).cast("double")).alias("accuracy"), F.sum(hit).alias("n_predicted"), F.sum("target").alias("n_target"), F.count("*").alias("n"))
 
 
+def batch_losses(df: DataFrame, batch: list[str], sample: str, cut: float = 0.5) -> DataFrame:
+    """Of df(batch, sample, at, p, target) without padding, per batch: loss and right ones over all
+    lines, and how many separators begin in the scores and in the targets of its samples."""
+    keys = [*batch, sample]
+    begun = lambda col: S.starts_count(df.withColumn("_on", col.cast("long")), keys, "at", "_on").groupBy(*batch).agg(F.sum("n_separators").alias("_n"))
+    hit = (F.col("p") >= cut).cast("long")
+    lines = df.groupBy(*batch).agg(cross_entropy(F.col("p"), F.col("target")).alias("loss"), F.count_if(hit == F.col("target")).alias("n_right"), F.count("*").alias("n"))
+    return lines.join(begun(hit).withColumnRenamed("_n", "n_predicted"), batch).join(begun(F.col("target")).withColumnRenamed("_n", "n_target"), batch)
+
+
 def mean_of_means(df: DataFrame, batch: str, loss: Column) -> DataFrame:
     return df.groupBy(batch).agg(loss.alias("_l")).agg(F.avg("_l").alias("loss"))
 

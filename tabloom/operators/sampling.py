@@ -143,3 +143,18 @@ def padded(df: DataFrame, batch: str, values: str) -> DataFrame:
     most = F.max(F.size(values)).over(W.partitionBy(batch))
     out = df.withColumn("_m", most)
     return out.withColumn(values, F.concat(F.col(values), F.array_repeat(F.element_at(values, -1), F.col("_m") - F.size(values)))).drop("_m")
+
+
+def padded_proposals(df: DataFrame, batch: str, spans: str, size: str) -> DataFrame:
+    """Arrays of proposals (start, end) made as long as the batch's longest; what is added lies on the
+    last two lines of the batch's largest table."""
+    one = W.partitionBy(batch)
+    out = df.withColumn("_m", F.max(F.size(spans)).over(one)).withColumn("_z", F.max(size).over(one).cast("long"))
+    last = F.struct((F.col("_z") - 2).alias("start"), (F.col("_z") - 1).alias("end"))
+    return out.withColumn(spans, F.concat(F.col(spans), F.array_repeat(last, F.col("_m") - F.size(spans)))).drop("_m", "_z")
+
+
+def unpadded(df: DataFrame, keys: list[str], arrays: list[str], size: str) -> DataFrame:
+    """One row a position of padded arrays, without what padding added: keys, at, and the arrays' values."""
+    own = [F.slice(F.col(a), 1, F.col(size)).alias(a) for a in arrays]
+    return df.select(*keys, *own).select(*keys, F.posexplode(F.arrays_zip(*arrays)).alias("at", "_v")).select(*keys, F.col("at").cast("long").alias("at"), *[F.col(f"_v.{a}").alias(a) for a in arrays])

@@ -266,6 +266,25 @@ def l_padded_batches(spark, sf):
     return N.padded(s, "batch", "v").select("k", "batch", "v")
 
 
+@query(oracle("""s AS (SELECT k, k // 4 AS batch, count(*) AS n, list(struct_pack("start" := i, "end" := i + 1) ORDER BY i) FILTER (target = 1) AS v FROM scores GROUP BY k), f AS (SELECT * REPLACE (coalesce(v, []) AS v) FROM s),
+    m AS (SELECT *, max(len(v)) OVER (PARTITION BY batch) AS most, max(n) OVER (PARTITION BY batch) AS z FROM f) SELECT k, batch, list_transform(list_concat(v, list_transform(range(most - len(v)), lambda j: struct_pack("start" := z - 2, "end" := z - 1))), lambda x: x."start" * 100000 + x."end") AS v FROM m""", "scores"))
+def l_padded_proposals(spark, sf):
+    """Proposals padded to the batch's most, as start and end in one number."""
+    found = F.array_sort(F.collect_list(F.when(F.col("target") == 1, F.struct(F.col("i").alias("start"), (F.col("i") + 1).alias("end")))))
+    s = D.scores(spark, sf).groupBy("k").agg(F.count("*").alias("n"), found.alias("v")).withColumn("batch", F.expr("k div 4"))
+    return N.padded_proposals(s, "batch", "v", "n").select("k", "batch", F.transform("v", lambda x: x["start"].cast("long") * 100000 + x["end"].cast("long")).alias("v"))
+
+
+@query(oracle(f"""c AS (SELECT *, k // 4 AS batch, {CLAMP} AS q, lag(p >= 0.5) OVER w AS before, lag(target) OVER w AS earlier FROM scores WINDOW w AS (PARTITION BY k ORDER BY i))
+    SELECT batch, round(-avg((1 - target) * ln(1 - q) + target * ln(q)), 8) AS loss, count(*) FILTER (CAST(p >= 0.5 AS BIGINT) = target) AS n_right, count(*) AS n, count(*) FILTER (p >= 0.5 AND NOT before) AS n_predicted, count(*) FILTER (target = 1 AND earlier = 0) AS n_target FROM c GROUP BY batch""", "scores"))
+def a_batch_losses(spark, sf):
+    """Losses of padded batches: padding is taken off before anything is counted."""
+    of = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("i", c))), lambda x: x[c]).alias(c)
+    s = D.scores(spark, sf).groupBy("k").agg(of("p"), of("target"), F.count("*").alias("n")).withColumn("batch", F.expr("k div 4"))
+    lines = N.unpadded(N.padded(N.padded(s, "batch", "p"), "batch", "target"), ["batch", "k"], ["p", "target"], "n")
+    return M.batch_losses(lines, ["batch"], "k").withColumn("loss", F.round("loss", 8))
+
+
 @query(oracle("SELECT k, count(*) AS n, list_sort(list(target)) AS ids, dense_rank() OVER (ORDER BY k) - 1 AS group_no FROM scores GROUP BY k", "scores"))
 def a_groups_as_lists(spark, sf):
     """Groups as lists, numbered in order without a window over all of them."""

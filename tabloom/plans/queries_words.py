@@ -143,6 +143,14 @@ def s_detected_boxes(spark, sf):
     return out
 
 
+@query("SELECT doc_id, CAST(round_even((0.5 - 0.25 / CAST(2 AS DOUBLE)) * w, 0) AS BIGINT) AS x0, CAST(round_even((0.5 - s / 2) * w, 0) AS BIGINT) AS y0, CAST(round_even((0.5 + 0.25 / CAST(2 AS DOUBLE)) * w, 0) AS BIGINT) AS x1, CAST(round_even((0.5 + s / 2) * w, 0) AS BIGINT) AS y1 FROM (SELECT doc_id, CAST(600 + doc_id % 97 AS DOUBLE) AS w, doc_id % 5 / CAST(8 AS DOUBLE) AS s FROM documents)")
+def s_whole_boxes(spark, sf):
+    """Boxes in whole pixels from a detector's lines of six numbers."""
+    rows = D.table(spark, sf, "documents").select("doc_id", F.concat_ws(" ", F.lit("0 0.5 0.5 0.25"), F.expr("(doc_id % 5) / 8.0D").cast("string"), F.lit("0.9")).alias("line"))
+    side = F.expr("CAST(600 + doc_id % 97 AS DOUBLE)")
+    return R.whole_boxes(rows, "line", side, side)
+
+
 @query("SELECT CASE WHEN doc_id % 2 = 0 THEN 'a-p' || source ELSE source END AS pdf, list_sort(list(DISTINCT doc_id % 50)) AS pages, count(CASE WHEN doc_id % 3 = 0 THEN 1 END) AS n_tables FROM documents GROUP BY ALL")
 def s_names_as_relation(spark, sf):
     name = F.expr("concat(CASE WHEN doc_id % 2 = 0 THEN concat('a-p', source) ELSE source END, '-p', doc_id % 50, CASE WHEN doc_id % 3 = 0 THEN concat('_t', doc_id % 9) ELSE '' END)")

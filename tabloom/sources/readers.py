@@ -58,6 +58,17 @@ def detected_boxes(lines: DataFrame, line_col: str, width: Column, height: Colum
     return lines.select(*[c for c in lines.columns if c != line_col], v[0].cast("long").alias("cat"), ((v[1] - v[3] / 2) * w).alias("x0"), ((v[2] - v[4] / 2) * h).alias("y0"), ((v[1] + v[3] / 2) * w).alias("x1"), ((v[2] + v[4] / 2) * h).alias("y1"), v[5].alias("conf"))
 
 
+def whole_boxes(df: DataFrame, line: str, width: Column, height: Column) -> DataFrame:
+    """Boxes in whole pixels (half to even) from a detector's lines of exactly six numbers: class, centre,
+    size, confidence. Another number of fields is an error."""
+    parts = F.split(line, " ")
+    six = F.when(F.size(parts) == 6, parts).otherwise(F.raise_error(F.concat(F.lit("six numbers expected: "), F.col(line))))
+    n = lambda i: F.col("_f")[i].cast("double")
+    edge = lambda centre, size, sign, whole: F.bround((n(centre) + sign * n(size) / 2) * whole, 0).cast("long")
+    out = df.withColumn("_f", six)
+    return out.withColumn("x0", edge(1, 3, -1, width)).withColumn("y0", edge(2, 4, -1, height)).withColumn("x1", edge(1, 3, 1, width)).withColumn("y1", edge(2, 4, 1, height)).drop("_f", line)
+
+
 def word_quads(df: DataFrame) -> DataFrame:
     """Quadrilaterals of an OCR engine -> boxes and percentages."""
     corner = lambda i, j: F.get(F.get("quad", F.lit(i)), F.lit(j))
