@@ -14,6 +14,7 @@ from tabloom.plans import fixtures as D
 from tabloom.plans.fixtures import oracle
 from tabloom.plans.registry import query
 from tabloom.sources import readers as R
+from tabloom.sources import synthetic as Y
 
 K = 150 / 72
 
@@ -151,6 +152,15 @@ def s_whole_boxes(spark, sf):
     return R.whole_boxes(rows, "line", side, side)
 
 
+@query("""WITH b AS (SELECT sample, axis, block, CAST(('0x' || substring(md5('7:' || sample || axis || block), 1, 12)) AS BIGINT) AS lot FROM range(20) s(sample), (VALUES ('row'), ('col')) a(axis), range(10) n(block)),
+    k AS (SELECT *, CASE WHEN axis = 'row' THEN ['none', 'solid', 'dashed', 'fake'][lot % 4 + 1] ELSE ['none', 'solid', 'dashed'][lot % 3 + 1] END AS kind, unnest(range(CASE WHEN axis = 'row' THEN 60 ELSE 80 END)) AS o FROM b),
+    i AS (SELECT *, CASE WHEN axis = 'row' THEN o BETWEEN 26 AND 32 ELSE o BETWEEN 66 AND 71 END AS inside FROM k)
+    SELECT sample, axis, block * CASE WHEN axis = 'row' THEN 60 ELSE 80 END + o AS at_line, CASE WHEN inside AND kind IN ('solid', 'fake') THEN 'solid' WHEN inside AND kind = 'dashed' THEN 'dashed' ELSE 'none' END AS pattern, CAST(inside AND kind IN ('solid', 'dashed') AS BIGINT) AS target FROM i""")
+def s_synthetic_lines(spark, sf):
+    """Lines of twenty made-up table images."""
+    return Y.lines(Y.blocks(spark, 20, 7)).withColumnRenamed("at", "at_line")
+
+
 @query("SELECT CASE WHEN doc_id % 2 = 0 THEN 'a-p' || source ELSE source END AS pdf, list_sort(list(DISTINCT doc_id % 50)) AS pages, count(CASE WHEN doc_id % 3 = 0 THEN 1 END) AS n_tables FROM documents GROUP BY ALL")
 def s_names_as_relation(spark, sf):
     name = F.expr("concat(CASE WHEN doc_id % 2 = 0 THEN concat('a-p', source) ELSE source END, '-p', doc_id % 50, CASE WHEN doc_id % 3 = 0 THEN concat('_t', doc_id % 9) ELSE '' END)")

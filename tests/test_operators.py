@@ -10,7 +10,7 @@ from tabloom.functions import text as X
 from tabloom.operators import boxes as B
 from tabloom.operators import cells as C
 from tabloom.operators import ink, lines, metrics, sampling, scoring, separators
-from tabloom.sources import readers, sinks
+from tabloom.sources import readers, sinks, synthetic
 from tabloom.streaming import ingest
 
 
@@ -317,3 +317,22 @@ def test_a_warned_write_is_never_left_out(spark, tmp_path):
     sinks.write_long(df, str(tmp_path / "x"), "warn")
     with pytest.raises(Exception, match="(?i)exist"):
         sinks.write_long(df, str(tmp_path / "x"), "warn")
+
+
+def test_synthetic_images_show_their_separators(spark):
+    made = synthetic.blocks(spark, 1, 3).cache()
+    rows = {r["at"]: r for r in synthetic.lines(made).where("axis = 'row'").collect()}
+    assert len(rows) == 600
+    dark = {r["y"]: r["n"] for r in synthetic.pixels(synthetic.lines(made)).where("v = 0").groupBy("y").agg(F.count("*").alias("n")).collect()}
+    for y, r in rows.items():
+        assert dark.get(y, 0) >= {"solid": 800, "dashed": 720, "none": 0}[r["pattern"]]
+    begins = [r["start_like"] for r in synthetic.text_boxes(made).orderBy("block").collect()]
+    assert begins == [rows[60 * k + 26]["target"] for k in range(10)]
+
+
+def test_whole_boxes_take_six_numbers_only(spark):
+    df = spark.createDataFrame([("0 0.5 0.5 0.5 0.25 0.9",)], "line string")
+    r = readers.whole_boxes(df, "line", F.lit(10), F.lit(20)).first()
+    assert (r["x0"], r["y0"], r["x1"], r["y1"]) == (2, 8, 8, 12)
+    with pytest.raises(Exception, match="six numbers"):
+        readers.whole_boxes(spark.createDataFrame([("0 0.5 0.5 0.5 0.25",)], "line string"), "line", F.lit(10), F.lit(20)).collect()
