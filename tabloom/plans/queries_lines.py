@@ -190,10 +190,13 @@ def a_best_thresholds(spark, sf):
     return out.select(r9(F.col("weighted"), "weighted"), r9(F.col("neutral"), "neutral"), "cost_ratio_fn_over_fp")
 
 
-@query(oracle(f"{SWEEP}, o AS (SELECT sum(target) AS ones FROM scores) SELECT k, round(tau, 9) AS tau, round(CASE WHEN ones - fn + fp > 0 THEN (ones - fn) / CAST(ones - fn + fp AS DOUBLE) END, 9) AS precision, round((ones - fn) / CAST(ones AS DOUBLE), 9) AS recall FROM sweep, o", "scores"))
+FINE = SWEEP.replace("(99 AS", "(1023 AS").replace("range(100)", "range(1024)")
+
+
+@query(oracle(f"{FINE}, o AS (SELECT sum(target) AS ones FROM scores) SELECT k, round(tau, 9) AS tau, round(CASE WHEN ones - fn + fp > 0 THEN (ones - fn) / CAST(ones - fn + fp AS DOUBLE) END, 9) AS precision, round((ones - fn) / CAST(ones AS DOUBLE), 9) AS recall FROM sweep, o", "scores"))
 def a_precision_recall(spark, sf):
     s = D.scores(spark, sf)
-    out = M.precision_recall(M.threshold_curve(s), s.agg(F.sum("target").alias("ones")))
+    out = M.precision_recall(M.threshold_curve(s, 1024), s.agg(F.sum("target").alias("ones")))
     return out.select("k", *[r9(F.col(c), c) for c in ("tau", "precision", "recall")])
 
 
