@@ -3,9 +3,8 @@
 1. Every document is read once; its words (lower-cased, punctuation removed) become hashed terms.
    Document frequencies are counted over all passages of all documents.
 2. Latent space: a randomised singular value decomposition of the TF-IDF matrix of passages. The
-   range finder and the Rayleigh-Ritz step are two distributed passes that add up terms x `RANK`
-   matrices; as any retrieval index may, the space is fitted on a bounded sample, `FIT_PASSAGES`
-   passages chosen by hash (documented parameter). What is searched is everything.
+   range finder and the Rayleigh-Ritz step are two distributed passes over all passages of all
+   documents that add up terms x `RANK` matrices. What is searched is everything.
 3. Candidate search: each benchmark item meets all windows of its own size class of every
    document; latent vectors, scaled to unit variance a dimension, are compared by cosine.
 4. Checks: the longest common subsequence of item and window must cover `LCS_SHARE` of the item,
@@ -40,7 +39,7 @@ from tabloom.llm._shared import read_table, stored
 TERMS = 1 << 15
 RANK = 96
 PASSAGE = 32
-FIT_PASSAGES = 120_000
+FIT_BLOCK = 1 << 15
 ITEM_BLOCK = 4096
 SMALLEST, LONGEST, STEP = 16, 256, 8
 #: Windows have a size of these, the least that holds the item.
@@ -111,32 +110,92 @@ def row_key(id_col: str, text_col: str):
 
 
 # ---------------------------------------------------------------- 2 latent space
-def _sum_over_passages(passages: DataFrame, weight: np.ndarray, basis: np.ndarray | None, rank: int) -> np.ndarray:
-    """A'A basis for the matrix A of normalised TF-IDF passages, added up in Spark by slices of
-    terms, in single precision. Without a basis it is a seeded random one, made where it is used."""
-    spark = passages.sparkSession
-    shared, rows = spark.sparkContext.broadcast((weight, basis)), 1024
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """All passages as rows of sorted terms, TERMS where a text's last one ends; FIT_BLOCK to twice that at a time."""
+
+    def rows(texts: list[np.ndarray]) -> np.ndarray:
+        sizes = [-(-len(x) // PASSAGE) for x in texts]
+        out, at = np.full((sum(sizes), PASSAGE), TERMS, np.uint16), 0
+        for x, n in zip(texts, sizes, strict=True):
+            out[at : at + n].reshape(-1)[: len(x)] = x
+            at += n
+        return np.sort(out, axis=1)
+
+    held, n, most = [], 0, FIT_BLOCK * PASSAGE
+    for b in batches:
+        for raw in b.column(0):
+            ids = np.frombuffer(raw.as_buffer(), np.uint16)
+            for at in range(0, len(ids), most):
+                held.append(ids[at : at + most])
+                n += -(-len(held[-1]) // PASSAGE)
+                if n >= FIT_BLOCK:
+                    yield rows(held)
+                    held, n = [], 0
+    if held:
+        yield rows(held)
+
+
+def _norms(s: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Lengths of passages (sorted terms) with weights x: repeats of a term count as its square."""
+    total, x2, rows = np.einsum("ij,ij->i", x, x), x * x, np.arange(len(s))
+    for k in range(1, PASSAGE):
+        same = (s[rows, k:] == s[rows, :-k]) & (s[rows, k:] < TERMS)
+        some = same.any(axis=1)
+        rows, same = rows[some], same[some]
+        if not len(rows):
+            break
+        total[rows] += 2 * np.einsum("ij,ij->i", x2[rows, k:], same)
+    return np.sqrt(total)
+
+
+def _add_products(s: np.ndarray, w: np.ndarray, q: np.ndarray, out: np.ndarray) -> None:
+    """out += A'A q for the passages s; w and q have a row of zeros for the term TERMS. Rows are taken into one
+    buffer: memory that is new each time costs more than the sums."""
+    rank, most = q.shape[1], 256 * PASSAGE
+    buffer, s = np.empty((most, rank), np.float32), s.astype(np.int64)
+    x = w[s]
+    x /= np.maximum(_norms(s, x), 1e-12)[:, None]
+    y = np.empty((len(s), rank), np.float32)
+    for at in range(0, len(s), 256):
+        part = s[at : at + 256]
+        near = np.take(q, part.reshape(-1), axis=0, out=buffer[: part.size], mode="clip").reshape(*part.shape, rank)
+        y[at : at + 256] = np.matmul(x[at : at + 256, None], near)[:, 0]
+    # by terms: pieces of equally many places, added up together; no term has two pieces in one product
+    t = s.reshape(-1)
+    order = np.argsort(t.astype(np.uint16), kind="stable")
+    order = order[: np.count_nonzero(t < TERMS)]
+    t, x, of = t[order], x.reshape(-1)[order], order // PASSAGE
+    first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+    long = np.diff(np.r_[first, len(t)])
+    pieces = -(-long // most)
+    nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    first, long = np.repeat(first, pieces) + nth * most, np.minimum(np.repeat(long, pieces) - nth * most, most)
+    by = np.argsort(long, kind="stable")
+    for same in np.split(by, np.flatnonzero(np.diff(long[by])) + 1):
+        n = int(long[same[0]])
+        for at in range(0, len(same), most // n):
+            start = first[same[at : at + most // n]]
+            places = start[:, None] + np.arange(n)
+            near = np.take(y, of[places].reshape(-1), axis=0, out=buffer[: places.size], mode="clip").reshape(*places.shape, rank)
+            out[t[start]] += np.matmul(x[places][:, None], near)[:, 0]
+
+
+def _sum_over_passages(texts: DataFrame, weight: np.ndarray, passages: int, basis: np.ndarray | None, rank: int) -> np.ndarray:
+    """A'A basis for the matrix A of the normalised TF-IDF passages of all texts, added up in Spark by slices
+    of terms, in single precision. Without a basis it is a seeded random one, made where it is used.
+    A task takes up to a million passages, so that what tasks send stays small beside the texts."""
+    context = texts.sparkSession.sparkContext
+    shared, rows = context.broadcast((weight, basis)), 256
+    tasks = max(1, -(-passages // (1 << 20)), min(context.defaultParallelism, passages >> 14))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, q = shared.value
         if q is None:
             q = np.random.default_rng(SEED).standard_normal((TERMS, rank), np.float32)
+        w, q = np.append(w, 0).astype(np.float32), np.vstack([q, np.zeros((1, rank), np.float32)])
         out = np.zeros((TERMS, rank), np.float32)
-        for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                part = [np.frombuffer(x.as_buffer(), np.uint16) for x in b.column(0)[at : at + 2048]]
-                t, of = np.concatenate(part).astype(np.int64), np.repeat(np.arange(len(part)), [len(x) for x in part])
-                pair, n = np.unique(of << 16 | t, return_counts=True)
-                of, t = pair >> 16, pair & 0xFFFF
-                x = n * w[t]
-                norm = np.sqrt(np.bincount(of, x * x, len(part)))
-                x = (x / np.maximum(norm[of], 1e-12)).astype(np.float32)
-                first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-                y = np.add.reduceat(q[t] * x[:, None], first, axis=0)
-                order = np.argsort(t, kind="stable")
-                first = np.flatnonzero(np.r_[True, np.diff(t[order]) != 0])
-                which = np.cumsum(np.r_[True, of[1:] != of[:-1]]) - 1
-                out[t[order][first]] += np.add.reduceat((y[which] * x[:, None])[order], first, axis=0)
+        for s in _blocks(batches):
+            _add_products(s, w, q, out)
         slices = np.arange(0, TERMS, rows)
         yield pa.RecordBatch.from_arrays([pa.array(slices.astype(np.int32)), pa.array([out[s : s + rows].tobytes() for s in slices], pa.binary())], names=["slice", "part"])
 
@@ -144,7 +203,7 @@ def _sum_over_passages(passages: DataFrame, weight: np.ndarray, basis: np.ndarra
         total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in pdf["part"])
         return pd.DataFrame({"slice": [key[0]], "part": [total.astype(np.float32).tobytes()]})
 
-    summed = passages.mapInArrow(run, "slice int, part binary").groupBy("slice").applyInPandas(add, "slice int, part binary")
+    summed = texts.coalesce(tasks).mapInArrow(run, "slice int, part binary").groupBy("slice").applyInPandas(add, "slice int, part binary")
     out = np.zeros((TERMS, rank), np.float32)
     for r in summed.collect():  # TERMS x rank numbers in all
         out[r["slice"] : r["slice"] + rows] = np.frombuffer(r["part"], np.float32).reshape(-1, rank)
@@ -152,25 +211,11 @@ def _sum_over_passages(passages: DataFrame, weight: np.ndarray, basis: np.ndarra
     return out
 
 
-def latent_space(table: DataFrame, weight: np.ndarray, passages: int, rank: int = RANK, fit: int = FIT_PASSAGES) -> np.ndarray:
-    """terms x rank: latent vector of a term, weighted and scaled by the singular values."""
-    limit = int(min(1.0, fit / max(1, passages)) * 2**32)
-
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for key, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.frombuffer(raw.as_buffer(), np.uint16)
-                n = -(-len(ids) // PASSAGE)
-                if n:
-                    u = (np.arange(n, dtype=np.uint64) + np.uint64(key & (2**64 - 1))) * np.uint64(0x9E3779B97F4A7C15)
-                    u = ((u ^ (u >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)
-                    out += [ids[k * PASSAGE : (k + 1) * PASSAGE].tobytes() for k in np.flatnonzero(u < limit)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
-
-    sample = stored(table.where("term IS NULL").select("key", "ids").mapInArrow(choose, "ids binary").repartition(12), "passages")
-    q = np.linalg.qr(_sum_over_passages(sample, weight, None, rank))[0]
-    image = _sum_over_passages(sample, weight, q, rank)
+def latent_space(table: DataFrame, weight: np.ndarray, passages: int, rank: int = RANK) -> np.ndarray:
+    """terms x rank: latent vector of a term, weighted and scaled by the singular values, from all passages."""
+    texts = table.where("term IS NULL").select("ids")
+    q = np.linalg.qr(_sum_over_passages(texts, weight, passages, None, rank))[0]
+    image = _sum_over_passages(texts, weight, passages, q, rank)
     values, turn = np.linalg.eigh((q.T @ image).astype(np.float64))
     del image
     scale = 1 / np.sqrt(np.maximum(values, values.max(initial=0) * 1e-6 + 1e-300))

@@ -1,5 +1,9 @@
 import random
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 from tabloom.llm import decontaminate as D
 
 
@@ -90,3 +94,51 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
 def test_empty(spark):
     docs, items, _ = corpus(spark)
     assert D.find(docs.limit(0), items).count() == 0 and D.find(docs, items.limit(0)).count() == 0
+
+
+def fitted(spark, texts):
+    """The latent space of texts (column text), the weights and the number of passages, as find() makes them."""
+    table = D.stored(D.read_terms(texts.withColumn("doc_id", F.lit(1)), "doc_id", "text"), "terms")
+    df = np.zeros(D.TERMS + 1)
+    for r in table.where("term IS NOT NULL").groupBy("term").agg(F.sum("df").alias("df")).collect():
+        df[r["term"]] = r["df"]
+    weight = np.log((1 + df[D.TERMS]) / (1 + df[: D.TERMS]))
+    return D.latent_space(table, weight, int(df[D.TERMS])), weight, int(df[D.TERMS])
+
+
+def dense(texts, weight):
+    """A'A of the normalised passages among the terms that weigh something, one passage after another."""
+    known = {int(t) for x in texts for t in D.terms(x) if weight[t] > 0}
+    at, out = {t: i for i, t in enumerate(sorted(known))}, np.zeros((len(known), len(known)))
+    for ids in map(D.terms, texts):
+        for k in range(0, len(ids), D.PASSAGE):
+            a = np.zeros(len(at))
+            for t in ids[k : k + D.PASSAGE].tolist():
+                if t in at:
+                    a[at[t]] += weight[t]
+            out += np.outer(a, a) / max(a @ a, 1e-24)
+    return sorted(at), out
+
+
+@pytest.mark.parametrize("block", [1 << 15, 7])
+def test_space_against_dense_matrix(spark, monkeypatch, block):
+    """Repeats within a passage, short last passages, a text of several blocks, a term in more places than one product holds."""
+    monkeypatch.setattr(D, "FIT_BLOCK", block, raising=False)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(30)], [1 / (i + 1) for i in range(30)], k=rng.randrange(1, 200))) for _ in range(150)]
+    texts += [" ".join(["w3 w3 w5"] * 3000), "rare " * 9000, "w1", "", None]
+    space, weight, _ = fitted(spark, spark.createDataFrame([(x,) for x in texts], "text string"))
+    some, gram = dense(texts, weight)
+    # fewer terms than dimensions: space space' is the weighted inverse of A'A
+    got = (space[some] / weight[some, None]) @ (space[some] / weight[some, None]).T
+    assert np.allclose(got @ gram, np.eye(len(some)), atol=2e-3)
+
+
+def test_space_is_fitted_on_every_passage(spark):
+    """A'A of normalised passages has their number as its trace; there are more here than a sample of 120,000."""
+    words = F.transform(F.sequence(F.lit(1), F.lit(1280)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", i), F.lit(40)).cast("string")))
+    space, weight, passages = fitted(spark, spark.range(4000).select(F.array_join(words, " ").alias("text")))
+    some = np.flatnonzero((weight > 0) & np.isin(np.arange(D.TERMS), D.terms(" ".join(f"w{i}" for i in range(40)))))
+    u = (space[some] / weight[some, None]).astype(float)
+    trace = (1 / np.linalg.eigvalsh(u @ u.T)).sum()
+    assert passages == 160_000 and abs(trace - passages) < 0.002 * passages
