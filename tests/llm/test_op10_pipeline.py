@@ -1,6 +1,7 @@
 import os
 import sys
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +77,21 @@ def test_pipeline_cases(spark, messy):
     assert sharding.sharded(docs).count() == docs.count()
 
 
+def test_decontamination_is_fitted_on_every_passage(spark, tmp_path, monkeypatch):
+    """The stage's own space: A'A of its normalised passages has their number, beyond any sample, as its trace."""
+    from tabloom.llm import decontaminate as D
+
+    spaces, fit = [], D.latent_space
+    monkeypatch.setattr(D, "latent_space", lambda table, weight, n: spaces.append((fit(table, weight, n), weight, n)) or spaces[0][0])
+    spark.createDataFrame([(1, "nothing of this is in them")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    words = F.transform(F.sequence(F.lit(1), F.lit(1280)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", i), F.lit(40)).cast("string")))
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.array_join(words, " ").alias("text"))
+    assert P.benchmark(spark, docs, str(tmp_path)).count() == 4000
+    (space, weight, passages), some = spaces[0], np.unique(D.terms(" ".join(f"w{i}" for i in range(40))))
+    u = (space[some] / weight[some, None]).astype(float)
+    assert passages == 160_000 and abs((1 / np.linalg.eigvalsh(u @ u.T)).sum() - passages) < 0.002 * passages
+
+
 @pytest.mark.parametrize("name", list(registry.SQL))
 def test_sql(spark, name):
     assert differences(spark, tables(SF), registry.QUERIES[name], registry.SQL[name], SF) == ""
