@@ -4,7 +4,8 @@
    Document frequencies are counted over all passages of all documents.
 2. Latent space: a randomised singular value decomposition of the TF-IDF matrix of passages. The
    range finder and the Rayleigh-Ritz step are two distributed passes over all passages of all
-   documents that add up terms x `RANK` matrices. What is searched is everything.
+   documents; the first adds up a terms x `RANK` matrix, the second one of `RANK` x `RANK`. What is
+   searched is everything.
 3. Candidate search: each benchmark item meets all windows of its own size class of every
    document; latent vectors, scaled to unit variance a dimension, are compared by cosine.
 4. Checks: the longest common subsequence of item and window must cover `LCS_SHARE` of the item,
@@ -34,13 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm._shared import read_table, stored
+from tabloom.llm._shared import dropped, read_table, stored
 
 TERMS = 1 << 15
 RANK = 96
 PASSAGE = 32
 FIT_BLOCK = 1 << 15
 ITEM_BLOCK = 4096
+ITEM_GROUP, CHECKED = 64, 4096
 SMALLEST, LONGEST, STEP = 16, 256, 8
 #: Windows have a size of these, the least that holds the item.
 WINDOWS = (16, 24, 32, 48, 64, 96, 128, 192, 256)
@@ -148,11 +150,10 @@ def _norms(s: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
-def _add_products(s: np.ndarray, w: np.ndarray, q: np.ndarray, out: np.ndarray) -> None:
-    """out += A'A q for the passages s; w and q have a row of zeros for the term TERMS. Rows are taken into one
-    buffer: memory that is new each time costs more than the sums."""
-    rank, most = q.shape[1], 256 * PASSAGE
-    buffer, s = np.empty((most, rank), np.float32), s.astype(np.int64)
+def _images(s: np.ndarray, w: np.ndarray, q: np.ndarray, buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Normalised weights x of the passages s and A q; w and q have a row of zeros for the term TERMS. Rows are
+    taken into one buffer: memory that is new each time costs more than the sums."""
+    rank = q.shape[1]
     x = w[s]
     x /= np.maximum(_norms(s, x), 1e-12)[:, None]
     y = np.empty((len(s), rank), np.float32)
@@ -160,6 +161,14 @@ def _add_products(s: np.ndarray, w: np.ndarray, q: np.ndarray, out: np.ndarray)
         part = s[at : at + 256]
         near = np.take(q, part.reshape(-1), axis=0, out=buffer[: part.size], mode="clip").reshape(*part.shape, rank)
         y[at : at + 256] = np.matmul(x[at : at + 256, None], near)[:, 0]
+    return x, y
+
+
+def _add_products(s: np.ndarray, w: np.ndarray, q: np.ndarray, out: np.ndarray) -> None:
+    """out += A'A q for the passages s."""
+    rank, most = q.shape[1], 256 * PASSAGE
+    buffer, s = np.empty((most, rank), np.float32), s.astype(np.int64)
+    x, y = _images(s, w, q, buffer)
     # by terms: pieces of equally many places, added up together; no term has two pieces in one product
     t = s.reshape(-1)
     order = np.argsort(t.astype(np.uint16), kind="stable")
@@ -180,19 +189,19 @@ def _add_products(s: np.ndarray, w: np.ndarray, q: np.ndarray, out: np.ndarray)
             out[t[start]] += np.matmul(x[places][:, None], near)[:, 0]
 
 
-def _sum_over_passages(texts: DataFrame, weight: np.ndarray, passages: int, basis: np.ndarray | None, rank: int) -> np.ndarray:
-    """A'A basis for the matrix A of the normalised TF-IDF passages of all texts, added up in Spark by slices
-    of terms, in single precision. Without a basis it is a seeded random one, made where it is used.
-    A task takes up to a million passages, so that what tasks send stays small beside the texts."""
-    context = texts.sparkSession.sparkContext
-    shared, rows = context.broadcast((weight, basis)), 256
-    tasks = max(1, -(-passages // (1 << 20)), min(context.defaultParallelism, passages >> 14))
+def _tasks(texts: DataFrame, passages: int) -> DataFrame:
+    """texts in tasks of up to a million passages, so that what tasks send stays small beside the texts."""
+    return texts.coalesce(max(1, -(-passages // (1 << 20)), min(texts.sparkSession.sparkContext.defaultParallelism, passages >> 14)))
+
+
+def _range_of(texts: DataFrame, weight: np.ndarray, passages: int, rank: int) -> np.ndarray:
+    """A'A times a seeded random basis, made where it is used, for the matrix A of the normalised TF-IDF passages
+    of all texts: added up in Spark by slices of terms, in single precision."""
+    shared, rows = texts.sparkSession.sparkContext.broadcast(weight), 256
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, q = shared.value
-        if q is None:
-            q = np.random.default_rng(SEED).standard_normal((TERMS, rank), np.float32)
-        w, q = np.append(w, 0).astype(np.float32), np.vstack([q, np.zeros((1, rank), np.float32)])
+        q = np.random.default_rng(SEED).standard_normal((TERMS, rank), np.float32)
+        w, q = np.append(shared.value, 0).astype(np.float32), np.vstack([q, np.zeros((1, rank), np.float32)])
         out = np.zeros((TERMS, rank), np.float32)
         for s in _blocks(batches):
             _add_products(s, w, q, out)
@@ -203,23 +212,65 @@ def _sum_over_passages(texts: DataFrame, weight: np.ndarray, passages: int, basi
         total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in pdf["part"])
         return pd.DataFrame({"slice": [key[0]], "part": [total.astype(np.float32).tobytes()]})
 
-    summed = texts.coalesce(tasks).mapInArrow(run, "slice int, part binary").groupBy("slice").applyInPandas(add, "slice int, part binary")
+    summed = stored(_tasks(texts, passages).mapInArrow(run, "slice int, part binary").groupBy("slice").applyInPandas(add, "slice int, part binary"), "range")
     out = np.zeros((TERMS, rank), np.float32)
-    for r in summed.collect():  # TERMS x rank numbers in all
+    for r in summed.toLocalIterator():  # TERMS x rank numbers in all, a partition of them at a time
         out[r["slice"] : r["slice"] + rows] = np.frombuffer(r["part"], np.float32).reshape(-1, rank)
+    dropped(summed)
+    shared.destroy()
+    return out
+
+
+def _gram_of_images(texts: DataFrame, weight: np.ndarray, passages: int, basis: np.ndarray) -> np.ndarray:
+    """basis' A'A basis: products of the passages' images, a rank x rank matrix a task."""
+    rank = basis.shape[1]
+    shared = texts.sparkSession.sparkContext.broadcast((weight, basis))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, q = shared.value
+        w, q = np.append(w, 0).astype(np.float32), np.vstack([q, np.zeros((1, rank), np.float32)])
+        buffer, out = np.empty((256 * PASSAGE, rank), np.float32), np.zeros((rank, rank))
+        for s in _blocks(batches):
+            y = _images(s.astype(np.int64), w, q, buffer)[1]
+            for at in range(0, len(y), 1024):
+                out += y[at : at + 1024].T @ y[at : at + 1024]
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["part"])
+
+    out = np.zeros((rank, rank))
+    parts = stored(_tasks(texts, passages).mapInArrow(run, "part binary"), "gram")
+    for r in parts.toLocalIterator():
+        out += np.frombuffer(r["part"]).reshape(rank, rank)
+    dropped(parts)
     shared.destroy()
     return out
 
 
+def _turned(a: np.ndarray, turn: np.ndarray) -> None:
+    """a = a turn, in place: the driver's memory holds one matrix of this size."""
+    for at in range(0, len(a), 1024):
+        a[at : at + 1024] = a[at : at + 1024].astype(np.float64) @ turn
+
+
+def _orthonormal(a: np.ndarray) -> None:
+    """An orthonormal basis of a's columns in their place, by the eigenvectors of a'a, twice for precision.
+    Columns beyond a's rank, as far as single precision tells it, become zero."""
+    for _ in range(2):
+        gram = np.zeros((a.shape[1], a.shape[1]))
+        for at in range(0, len(a), 1024):
+            part = a[at : at + 1024].astype(np.float64)
+            gram += part.T @ part
+        values, turn = np.linalg.eigh(gram)
+        some = values > max(values.max(initial=0) * 1e-14, 1e-300)
+        _turned(a, turn * np.where(some, 1 / np.sqrt(np.where(some, values, 1)), 0))
+
+
 def latent_space(table: DataFrame, weight: np.ndarray, passages: int, rank: int = RANK) -> np.ndarray:
     """terms x rank: latent vector of a term, weighted and scaled by the singular values, from all passages."""
     texts = table.where("term IS NULL").select("ids")
-    q = np.linalg.qr(_sum_over_passages(texts, weight, passages, None, rank))[0]
-    image = _sum_over_passages(texts, weight, passages, q, rank)
-    values, turn = np.linalg.eigh((q.T @ image).astype(np.float64))
-    del image
-    scale = 1 / np.sqrt(np.maximum(values, values.max(initial=0) * 1e-6 + 1e-300))
-    q = q @ (turn * scale).astype(np.float32)
+    q = _range_of(texts, weight, passages, rank)
+    _orthonormal(q)
+    values, turn = np.linalg.eigh(_gram_of_images(texts, weight, passages, q))
+    _turned(q, turn / np.sqrt(np.maximum(values, values.max(initial=0) * 1e-6 + 1e-300)))
     q *= weight[:, None].astype(np.float32)
     return q
 
@@ -234,7 +285,8 @@ class Searcher:
 
     def __init__(self, space: np.ndarray, items: list[tuple[object, list[int], list[int]]], cosine: float) -> None:
         self.space, self.cosine = np.vstack([space, np.zeros((1, space.shape[1]), np.float32)]), cosine
-        self.by: dict[int, tuple[list, np.ndarray]] = {}
+        #: By size of window: items, their vectors, numbers of the terms that any of them has, an item's own terms by these.
+        self.by: dict[int, list[tuple[list, np.ndarray, np.ndarray, np.ndarray]]] = {}
         self.short: dict[int, dict[int, list]] = {}  # by words, by the number that these make
         for item, words, _ in items:
             if len(words) < LEAST_WORDS:
@@ -242,30 +294,61 @@ class Searcher:
         items = [x for x in items if len(x[1]) >= LEAST_WORDS]
         for w in sorted({window_of(len(x[1])) for x in items}):
             own = [x for x in items if window_of(len(x[1])) == w]
-            v = np.array([self.space[x[1]].sum(axis=0) for x in own])
-            self.by[w] = [(*x, frozenset(x[1])) for x in own], (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).T
+            self.by[w] = [self._group(own[at : at + ITEM_GROUP]) for at in range(0, len(own), ITEM_GROUP)]
+
+    def _group(self, own: list[tuple]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+        v = np.array([self.space[x[1]].sum(axis=0) for x in own])
+        known = [np.unique(x[1]) for x in own]
+        some, number = np.unique(np.concatenate(known)), np.zeros(len(self.space), np.uint16)
+        number[some] = np.arange(1, len(some) + 1)
+        nth = np.zeros((len(own), len(some) + 1), np.uint16)
+        for row, x in zip(nth, known, strict=True):
+            row[number[x]] = np.arange(1, len(x) + 1)
+        return [(*x, len(k)) for x, k in zip(own, known, strict=True)], (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).T, number, nth
 
     def candidates(self, docs: list[np.ndarray]) -> Iterator[tuple[int, tuple, float, int, int]]:
-        """(document, item, cosine, first word, last word + 1) of windows like an item."""
+        """(document, item, cosine, first word, last word + 1) of windows like an item that, with a margin of half
+        the item on both sides, hold as many different words of it as the subsequence needs at least."""
         sizes = np.array([-(-len(d) // STEP) for d in docs])
-        ends = np.cumsum(sizes)
-        flat = np.full(int(ends[-1]) * STEP, len(self.space) - 1, np.int32)
-        for d, e, n in zip(docs, ends, sizes, strict=True):
-            flat[(e - n) * STEP : (e - n) * STEP + len(d)] = d
-        seg = self.space[flat].reshape(-1, STEP, self.space.shape[1]).sum(axis=1)
-        total = np.vstack([np.zeros((1, seg.shape[1])), np.cumsum(seg, axis=0, dtype=np.float64)])
-        of, stop = np.repeat(np.arange(len(docs)), sizes), np.repeat(ends, sizes)
-        for w, (own, items) in self.by.items():
-            k, hop = w // STEP, max(1, w // STEP // 4)
-            begin = np.arange(0, len(seg), hop)
-            end = np.minimum(begin + k, stop[begin])
-            v = (total[end] - total[begin]).astype(np.float32)
-            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-            near = v @ items
-            for x, y in zip(*np.nonzero(near >= self.cosine), strict=True):
-                s, d = int(begin[x]), int(of[begin[x]])
-                base = int(ends[d] - sizes[d])
-                yield d, own[y], float(near[x, y]), (s - base) * STEP, (int(end[x]) - base) * STEP
+        most = max(self.by) // STEP - 1
+        # documents stand apart by as many empty steps as no window reaches over
+        starts = np.cumsum(sizes + most) - sizes - most
+        flat = np.full(int(sizes.sum() + most * len(docs)) * STEP, len(self.space) - 1, np.int32)
+        for d, at in zip(docs, starts.tolist(), strict=True):
+            flat[at * STEP : at * STEP + len(d)] = d
+        seg = np.empty((len(flat) // STEP, self.space.shape[1]), np.float32)
+        for at in range(0, len(seg), 512):
+            seg[at : at + 512] = self.space[flat[at * STEP : (at + 512) * STEP]].reshape(-1, STEP, seg.shape[1]).sum(axis=1)
+        of = np.repeat(np.arange(len(docs)), sizes + most)
+        nth = np.arange(len(seg)) - starts[of]
+        v, reach = seg.copy(), 1
+        for w, groups in self.by.items():
+            for j in range(reach, w // STEP):
+                v[: len(seg) - j] += seg[j:]
+            reach = w // STEP
+            begin = np.flatnonzero((nth < sizes[of]) & (nth % max(1, reach // 4) == 0))
+            near_v = v[begin]
+            long = np.maximum(np.sqrt(np.einsum("ij,ij->i", near_v, near_v)), 1e-9)
+            for own, items, number, known in groups:
+                near = near_v @ items
+                at = np.flatnonzero(near >= self.cosine * long[:, None])
+                lengths, distinct = np.array([len(x[1]) for x in own]), np.array([x[3] for x in own])
+                for part in np.split(at, range(CHECKED, len(at), CHECKED)):
+                    x, y = np.divmod(part, len(own))
+                    s = begin[x]
+                    d = of[s]
+                    a, size = nth[s] * STEP, sizes[d] * STEP
+                    b, margin = np.minimum(a + w, size), lengths[y] // 2 + STEP
+                    # different words of the item from a - margin to b + margin, counted by their numbers in it
+                    low, high = np.maximum(a - margin, 0), np.minimum(b + margin, size)
+                    places = np.arange((high - low).max(initial=0))
+                    words = np.take(flat, (starts[d] * STEP + low)[:, None] + places, mode="clip")
+                    word = known[y[:, None], np.where(places < (high - low)[:, None], number[words], 0)]
+                    seen = np.zeros((len(part), distinct.max() + 1), bool)
+                    seen[np.arange(len(part))[:, None], word] = True
+                    enough = seen[:, 1:].sum(axis=1) >= LCS_SHARE * lengths[y] - (lengths[y] - distinct[y])
+                    for i in np.flatnonzero(enough).tolist():
+                        yield int(d[i]), own[y[i]], float(near[x[i], y[i]] / long[x[i]]), int(a[i]), int(b[i])
 
     def exact(self, docs: list[np.ndarray]) -> Iterator[tuple[int, object]]:
         """(document, item) of short items whose words stand next to each other."""
@@ -285,14 +368,11 @@ class Searcher:
         if not self.by:
             return
         done = set()
-        for d, (item, words, answer, known), cos, a, b in self.candidates(docs):
+        for d, (item, words, answer, _), cos, a, b in self.candidates(docs):
             if (d, item) in done:
                 continue
             margin = len(words) // 2 + STEP
             window = docs[d][max(0, a - margin) : b + margin].tolist()
-            # so many different words the subsequence needs at least
-            if len(known.intersection(window)) < LCS_SHARE * len(words) - (len(words) - len(known)):
-                continue
             share = lcs_length(words, window) / len(words)
             if share >= LCS_SHARE:
                 told = lcs_length(answer, window) / len(answer)
@@ -355,6 +435,8 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
         found.append(stored(texts.mapInArrow(run, schema), "found"))
         shared.destroy()
+    if space is not None:
+        space.destroy()
     out = spark.createDataFrame([], schema)
     for hits in found:
         out = out.union(hits)

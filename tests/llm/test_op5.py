@@ -142,3 +142,16 @@ def test_space_is_fitted_on_every_passage(spark):
     u = (space[some] / weight[some, None]).astype(float)
     trace = (1 / np.linalg.eigvalsh(u @ u.T)).sum()
     assert passages == 160_000 and abs(trace - passages) < 0.002 * passages
+
+
+def test_windows_do_not_depend_on_the_documents_beside_them():
+    rng = np.random.default_rng(7)
+    space = rng.standard_normal((D.TERMS, D.RANK)).astype(np.float32)
+    items = [(i, x, x[-8:]) for i, x in enumerate(rng.integers(0, D.TERMS, n).tolist() for n in (20, 60, 250, *[30] * 70))]
+    # a fifth of the words put in, so that hits depend on where windows begin
+    docs = [np.r_[rng.integers(0, D.TERMS, 13 * i % 90), np.insert(x, range(4, len(x), 5), 1), rng.integers(0, D.TERMS, 50)].astype(np.uint16) for i, x, _ in items]
+    search = D.Searcher(space, items, D.COSINE)
+    alone = {(i, *x[1:]) for i, d in enumerate(docs) for x in search.hits([d])}
+    assert {x[:2] for x in alone} == {(i, i) for i in range(len(items))}
+    together = {x[:2]: x for x in search.hits(docs)}
+    assert together.keys() == {x[:2] for x in alone} and all(np.isclose(together[x[:2]][2], x[2], atol=1e-5) and together[x[:2]][3:] == x[3:] for x in alone)
