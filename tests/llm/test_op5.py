@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -155,3 +156,13 @@ def test_windows_do_not_depend_on_the_documents_beside_them():
     assert {x[:2] for x in alone} == {(i, i) for i in range(len(items))}
     together = {x[:2]: x for x in search.hits(docs)}
     assert together.keys() == {x[:2] for x in alone} and all(np.isclose(together[x[:2]][2], x[2], atol=1e-5) and together[x[:2]][3:] == x[3:] for x in alone)
+
+
+def test_driver_holds_few_matrices_of_the_terms(spark):
+    """The fit's own memory on the driver: a matrix of terms x RANK, what a partition of it takes to arrive, no copies in double precision."""
+    tracemalloc.start()
+    try:
+        fitted(spark, spark.createDataFrame([(f"some words w{i} of v{i} text",) for i in range(300)], "text string"))
+        assert tracemalloc.get_traced_memory()[1] < 3 * 4 * D.TERMS * D.RANK
+    finally:
+        tracemalloc.stop()
